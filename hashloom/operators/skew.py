@@ -101,12 +101,13 @@ def plan_shards(df: DataFrame, key: str, tasks: int | None = None, heavy_share:
 
 
 def route(df: DataFrame, key: str, plan: ShardPlan, spread: list[str] | None = None) -> DataFrame:
-    """``df`` with __shard and __task. Rows of a heavy key go to a shard by the hash of ``spread`` (default: all columns and the position).
+    """``df`` with __shard and __task. Rows of a heavy key go to a shard by the hash of ``spread`` (default: all columns).
 
-    Equal rows must not fall into one shard, so with the default a row number within its input partition is hashed as well.
+    The shard depends on the row's content alone, so that a task that runs again after an executor is lost sends every row where
+    it went before. Name a row identifier in ``spread`` where whole rows repeat very often.
     """
     heavy = F.broadcast(plan.heavy_frame(df.sparkSession))
-    by = [F.col(f"`{c}`") for c in spread] if spread else [F.monotonically_increasing_id()]
+    by = [F.col(f"`{c}`") for c in spread or df.columns]
     bucket = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(len(plan.bucket_tasks))).cast("int")
     packed = F.expr(f"array({','.join(map(str, plan.bucket_tasks))})")
     joined = df.join(heavy, F.col(f"`{key}`").eqNullSafe(F.col("__key")), "left").withColumn(

@@ -13,18 +13,18 @@ POSITIVE = "aggregate(filter(names_and_counts, x -> x.name is not null and x.cnt
 
 
 def hash_rows(spark: SparkSession, d: str) -> DataFrame:
-    """(key_value, amount) per row id whose hash is not null."""
+    """(row_id, key_value, amount) per row id whose hash is not null."""
     rows = dictionary_once(table(spark, d, "dictionary_rows"))
-    return rows.where("hash is not null").select(F.col("hash").alias("key_value"), F.coalesce(F.expr(POSITIVE), F.lit(0)).alias("amount"))
+    return rows.where("hash is not null").select("row_id", F.col("hash").alias("key_value"), F.coalesce(F.expr(POSITIVE), F.lit(0)).alias("amount"))
 
 
-def _field(name: str, df: DataFrame, loads: DataFrame) -> DataFrame:
+def _field(name: str, df: DataFrame, loads: DataFrame, spread: str) -> DataFrame:
     plan = plan_shards(loads, "key_value")
     return balanced_aggregate(
         df, "key_value",
         [F.count(F.lit(1)).alias("n"), F.sum("amount").alias("t")],
         [F.sum("n").alias("n_rows"), F.sum("t").alias("total")],
-        plan,
+        plan, [spread],
     ).select(F.lit(name).alias("field"), "key_value", "n_rows", "total")
 
 
@@ -35,8 +35,8 @@ def key_totals(spark: SparkSession, d: str) -> DataFrame:
     Loads are estimated from the key columns as delivered: a redelivered row changes the plan a little, never the result.
     """
     raw = table(spark, d, "dictionary_rows").where("hash is not null").select(F.col("hash").alias("key_value"))
-    entries = block_entries(table(spark, d, "matrix_blocks")).select(F.col("col_id").alias("key_value"), F.lit(1).cast("bigint").alias("amount"))
-    return _field("dictionary_rows.hash", hash_rows(spark, d), raw).unionByName(_field("matrix_blocks.col_ids", entries, entries))
+    entries = block_entries(table(spark, d, "matrix_blocks")).select("block_id", F.col("col_id").alias("key_value"), F.lit(1).cast("bigint").alias("amount"))
+    return _field("dictionary_rows.hash", hash_rows(spark, d), raw, "row_id").unionByName(_field("matrix_blocks.col_ids", entries, entries, "block_id"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +58,7 @@ def p3_shared_hashes(spark: SparkSession, d: str) -> DataFrame:
     left = hash_rows(spark, d).withColumnRenamed("key_value", "hash")
     other = dictionary_once(table(spark, d, "dictionary_count_rows")).where("hash is not null").groupBy("hash").agg(F.count(F.lit(1)).alias("counted_rows"))
     plan = plan_shards(table(spark, d, "dictionary_rows").where("hash is not null").select("hash"), "hash")
-    return balanced_join(left, other, "hash", "inner", plan).groupBy("hash").agg(
+    return balanced_join(left, other, "hash", "inner", plan, ["row_id"]).groupBy("hash").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("amount").alias("total"), F.first("counted_rows").alias("counted_rows")
     )
 

@@ -45,10 +45,10 @@ def matrix_records(blocks: DataFrame) -> DataFrame:
 
 
 def block_entries(blocks: DataFrame) -> DataFrame:
-    """(col_id BIGINT): all entries of all records, repeated ones kept, read as one slice per block."""
+    """(block_id, col_id BIGINT): all entries of all records, repeated ones kept, read as one slice per block."""
     first = F.get(F.col("row_start_idx"), F.lit(0))
     last = F.get(F.col("row_start_idx"), F.col("n_rows"))
-    return blocks_once(blocks).select(F.explode(slice_between(F.col("col_ids"), first, last).cast("array<bigint>")).alias("col_id")).where("col_id is not null")
+    return blocks_once(blocks).select("block_id", F.explode(slice_between(F.col("col_ids"), first, last).cast("array<bigint>")).alias("col_id")).where("col_id is not null")
 
 
 def record_count(blocks: DataFrame) -> DataFrame:
