@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashloom.llm.heavy_hitters import frequent
+from hashloom.llm.garbled import restored
+from hashloom.llm.heavy_hitters import frequent, heavy_hitters
+from hashloom.llm.leakage import leaks
+from hashloom.llm.mixing import mix, sized_documents
 from hashloom.llm.oracle import ORACLE
+from hashloom.llm.pair_table import PairTable
+from hashloom.llm.residuals import term_scores
 from hashloom.llm.similar_sets import set_classes, similar_classes, similar_pairs
-from hashloom.plans.tables import clean_name, dictionary_once, table, vector_sets
-from hashloom.session import checkpointed
+from hashloom.llm.stable_sample import running_weights, stable_sample
+from hashloom.llm.term_stats import marked, term_frequencies
+from hashloom.plans.tables import clean_name, dictionary_once, matrix_records, record_count, table, vector_sets
+from hashloom.session import checkpointed, scratch_path
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -46,4 +53,110 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return frequent(_named_counts(spark, d, "dictionary_rows"), "name", "cnt", 0.005).select(F.col("item").alias("name"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found}
+def p2_totals(spark: SparkSession, d: str) -> DataFrame:
+    """(name, estimate, error): the candidates of every stream with their estimated totals."""
+    found = heavy_hitters(_named_counts(spark, d, "dictionary_rows"), "name", "cnt")
+    return found.where("item is not null").select(F.col("item").alias("name"), "estimate", "error")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The column with the highest tf ln(N / df) of every probed record, among its columns with df >= 2."""
+    records = matrix_records(table(spark, d, "matrix_blocks"))
+    scores = term_scores(records, only=table(spark, d, "probe_rows")).where("df >= 2")
+    # equal products of tf and ln may differ in their last bits
+    score = F.round(F.col("tf") * F.log(F.col("n_records") / F.col("df")), 9)
+    best = scores.groupBy("row_id").agg(F.min(F.struct((-score).alias("s"), F.col("term"))).alias("b"))
+    return best.select("row_id", F.col("b.term").alias("col_id"))
+
+
+def p4_residuals(spark: SparkSession, d: str) -> DataFrame:
+    """(row_id, col_id, tf, df, residual, adjusted) of every column of every record."""
+    scores = term_scores(matrix_records(table(spark, d, "matrix_blocks")))
+    return scores.select("row_id", F.col("term").alias("col_id"), "tf", "df", F.round("residual", 6).alias("residual"), F.round("adjusted", 6).alias("adjusted"))
+
+
+def _pair_table(spark: SparkSession, d: str) -> PairTable:
+    records = matrix_records(table(spark, d, "matrix_blocks"))
+    signed = records.select(F.col("cols").alias("items"), F.lit(1).cast("bigint").alias("sign"))
+    return PairTable(spark, scratch_path(spark, "pairs")).apply(signed)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of columns in at least 5 records and 0.2 % of all, at least 4 times as many as by chance."""
+    found = _pair_table(spark, d).scores(5, 0.002)
+    return found.where("cast(n as decimal(38, 0)) * baskets >= 4 * cast(n_a as decimal(19, 0)) * n_b").select(F.col("a").alias("col_a"), F.col("b").alias("col_b"))
+
+
+def p5_scores(spark: SparkSession, d: str) -> DataFrame:
+    """(col_a, col_b, n, lift, npmi) of every pair of columns in at least 5 records."""
+    s = _pair_table(spark, d).scores(5)
+    return s.select(F.col("a").alias("col_a"), F.col("b").alias("col_b"), "n", F.round("lift", 6).alias("lift"), F.round("npmi", 6).alias("npmi"))
+
+
+def _frequencies(spark: SparkSession, d: str) -> DataFrame:
+    blocks, rows = table(spark, d, "matrix_blocks"), table(spark, d, "dictionary_count_rows")
+    cols = matrix_records(blocks).select("row_id", F.explode(F.col("cols").cast("array<bigint>")).alias("item"))
+    of_columns = marked(term_frequencies(cols, "item", "row_id"), record_count(blocks), 3, 0.2)
+    listed = dictionary_once(rows).select("row_id", F.explode("names_and_counts").alias("x")).select("row_id", clean_name(F.col("x.name")).alias("item"))
+    row_ids = rows.agg(F.count_distinct("row_id").alias("n"))
+    of_names = marked(term_frequencies(listed, "item", "row_id"), row_ids, 3, 0.05)
+    named = lambda f, df: df.select(F.lit(f).alias("field"), F.col("item").cast("string").alias("item"), "total", "records", "mark")
+    return named("matrix_blocks.col_ids", of_columns).unionByName(named("dictionary_count_rows.names_and_counts", of_names))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Columns and names that are too rare or too common."""
+    return _frequencies(spark, d).where("mark is not null").select("field", "item", "mark")
+
+
+def p6_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    """(field, item, total, records, mark) of every column and name; total counts occurrences."""
+    return _frequencies(spark, d)
+
+
+def p7_sample(spark: SparkSession, d: str) -> DataFrame:
+    """(id, first_load): a tenth of the ids of long_vectors, and the load that brought the id first."""
+    rows = table(spark, d, "long_vectors")
+    chosen = stable_sample(running_weights(rows, "id"), 0.1)
+    first = rows.where("id is not null").groupBy("id").agg(F.min("load_no").alias("first_load"))
+    return chosen.select("id").join(first, "id")
+
+
+def p7_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """(id, weight): ids drawn with a probability of 0.005 per distinct value of the largest set delivered for them."""
+    sets = vector_sets(table(spark, d, "long_vectors")).select("id", F.size("set").alias("size"))
+    return stable_sample(running_weights(sets, "id", "size"), 0.005).select("id", F.col("weight").cast("bigint").alias("weight"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that reproduce at least 25 successive words of a test item."""
+    return leaks(table(spark, d, "documents"), table(spark, d, "benchmark")).select("doc_id", "item_id")
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, copy_no, source, tokens): the composed set."""
+    return mix(sized_documents(table(spark, d, "documents")), table(spark, d, "mix_targets"))[0]
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """Shares wanted and reached by source."""
+    return mix(sized_documents(table(spark, d, "documents")), table(spark, d, "mix_targets"))[1]
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with characters that a wrong decoding made."""
+    return restored(table(spark, d, "documents")).where("garbled").select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, text, chains): the garbled pages, restored as far as possible."""
+    return restored(table(spark, d, "documents")).where("garbled").select("doc_id", F.col("restored").alias("text"), F.array_join("chains", ", ").alias("chains"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_classes, p2_found, p2_totals, p4_found, p4_residuals, p5_found, p5_scores, p6_found, p6_frequencies,
+        p7_sample, p7_weighted, p8_found, p9_mix, p9_report, p10_found, p10_restored,
+    )
+}
