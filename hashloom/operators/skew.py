@@ -60,28 +60,35 @@ def pack(loads: Iterable[tuple[object, int]], tasks: int, begin: list[int] | Non
 
 
 def plan_shards(df: DataFrame, key: str, tasks: int | None = None, heavy_share: float = 0.25, buckets: int = 1024) -> ShardPlan:
-    """Estimate loads of ``key`` and bin-pack them to ``tasks`` (default: spark.sql.shuffle.partitions).
+    """``plan_from_loads`` with the rows of every key of ``df`` as loads, counted on the key column alone."""
+    keys = df.select(F.col(f"`{key}`").alias("__key"))
+    return plan_from_loads(keys.groupBy("__key").agg(F.count(F.lit(1)).alias("n")), "__key", "n", tasks, heavy_share, buckets)
+
+
+def plan_from_loads(loads: DataFrame, key: str, load: str, tasks: int | None = None, heavy_share: float = 0.25, buckets: int = 1024) -> ShardPlan:
+    """Bin-pack keys with known or estimated loads (one row per key) to ``tasks`` (default: spark.sql.shuffle.partitions).
 
     A key with at least ``heavy_share`` of one task's fair load counts as heavy, so there are at most tasks / heavy_share of
     them. Null keys count as a key of their own. What reaches the driver is at most ``buckets`` + tasks / heavy_share rows.
     An empty table gives a plan without heavy keys.
     """
-    spark = df.sparkSession
+    spark = loads.sparkSession
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = df.select(F.col(key).alias("__key"))
-    total = keys.count()
-    limit = max(2, math.ceil(total / tasks * heavy_share))
-    per_key = keys.groupBy("__key").agg(F.count(F.lit(1)).alias("n"))
-    heavy_key = F.col("n") >= limit
+    per_key = loads.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{load}`").alias("n"))
+    whole = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("__total"), F.lit(1).alias("__one"))
+    # the limit comes from the one-row total inside the same job: loads aren't computed twice for it
+    ranked = per_key.withColumn("__one", F.lit(1)).join(F.broadcast(whole), "__one")
+    heavy_key = F.col("n") >= F.greatest(F.lit(2), F.ceil(F.col("__total") / tasks * heavy_share))
     summary = (
-        per_key.groupBy(
+        ranked.groupBy(
             heavy_key.alias("heavy"),
             F.when(heavy_key, F.col("__key")).alias("__key"),
-            F.when(~heavy_key, F.pmod(F.xxhash64("__key"), F.lit(buckets))).alias("bucket"),
+            F.when(~heavy_key, F.pmod(F.xxhash64("__key"), F.lit(buckets)).cast("int")).alias("bucket"),
         )
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("n"), F.max("__total").alias("total"))
         .collect()
     )
+    total = summary[0]["total"] if summary else 0
     capacity = max(1, math.ceil(total / tasks))
     items: list[tuple[object, int]] = []
     big: dict[object, tuple[int, int]] = {}
@@ -94,7 +101,7 @@ def plan_shards(df: DataFrame, key: str, tasks: int | None = None, heavy_share:
             items.append((("b", r["bucket"]), r["n"]))
     at = pack(items, tasks)
     return ShardPlan(
-        df.schema[key].dataType, tasks, total,
+        loads.schema[key].dataType, tasks, total,
         [(k, n, [at[("h", k, i)] for i in range(parts)]) for k, (n, parts) in sorted(big.items(), key=lambda x: (-x[1][0], str(x[0])))],
         [at.get(("b", b), b % tasks) for b in range(buckets)],
     )
