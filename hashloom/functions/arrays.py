@@ -10,6 +10,11 @@ def _col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: inside a lambda, an expression is otherwise computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def array_sum(a: str | Column) -> Column:
     """Sum of the elements; 0 for an empty array, null for a null one, null elements skipped."""
     return F.aggregate(F.filter(_col(a), lambda x: x.isNotNull()), F.lit(0.0), lambda s, x: s + x.cast("double"))
@@ -23,20 +28,17 @@ def axpy(into: str | Column, add: str | Column, times: float | Column = 1.0) ->
 
 def normalize(a: str | Column) -> Column:
     """Elements divided by their sum; null elements where the sum is 0."""
-    s = array_sum(a)
-    return F.transform(_col(a), lambda x: F.try_divide(x.cast("double"), s))
+    return bound(array_sum(a), lambda s: F.transform(_col(a), lambda x: F.try_divide(x.cast("double"), s)))
 
 
 def log_normalizer(a: str | Column) -> Column:
     """log of the sum of exponentials, shifted by the largest element; null for an empty array."""
-    m = F.array_max(_col(a)).cast("double")
-    return m + F.log(F.aggregate(_col(a), F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - m)))
+    return bound(F.array_max(_col(a)).cast("double"), lambda m: m + F.log(F.aggregate(_col(a), F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - m))))
 
 
 def log_normalize(a: str | Column) -> Column:
     """exp(x - log normaliser): sums to 1 for any offset of the input."""
-    z = log_normalizer(a)
-    return F.transform(_col(a), lambda x: F.exp(x.cast("double") - z))
+    return bound(log_normalizer(a), lambda z: F.transform(_col(a), lambda x: F.exp(x.cast("double") - z)))
 
 
 def cumulative_sum(a: str | Column) -> Column:
@@ -73,9 +75,8 @@ def sort_parallel(keys: str | Column, values: str | Column) -> Column:
 
 def array_quantiles(a: str | Column, qs: list[float]) -> Column:
     """sorted[int(min(q n, n - 1))] for each q, without interpolation; nulls for an empty array."""
-    s = F.sort_array(F.filter(_col(a), lambda x: x.isNotNull()))
-    n = F.size(s)
-    return F.array(*[F.get(s, F.least(F.lit(q) * n, n - 1.0).cast("int")) for q in qs])
+    at = lambda s, q: F.get(s, F.least(F.lit(q) * F.size(s), F.size(s) - 1.0).cast("int"))
+    return bound(F.sort_array(F.filter(_col(a), lambda x: x.isNotNull())), lambda s: F.array(*[at(s, q) for q in qs]))
 
 
 def as_set(a: str | Column) -> Column:

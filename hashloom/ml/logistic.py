@@ -117,6 +117,5 @@ def sgd_averaged(vectors: DataFrame, labels: DataFrame, update: Update, rates: l
 
     order = data.repartition("shard").sortWithinPartitions("shard", "row_id")
     per = order.select("shard", "col_ids", "vals", "y").mapInPandas(run, "shard int, col_id bigint, w double")
-    n = data.agg(F.count_distinct("shard").alias("n"), F.lit(1).alias("one"))
-    total = per.groupBy("col_id").agg(F.sum("w").alias("w"), F.lit(1).alias("one"))
-    return total.join(F.broadcast(n), "one").select("col_id", (F.col("w") / F.col("n")).alias("w"))
+    n = data.agg(F.count_distinct("shard")).scalar()
+    return per.groupBy("col_id").agg(F.sum("w").alias("w")).select("col_id", (F.col("w") / n).alias("w"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hashloom.functions.arrays import log_normalizer
 from hashloom.functions.hashing import to_unit
 from hashloom.session import checkpointed
 
@@ -29,9 +30,7 @@ def posteriors(triplets: DataFrame, log_theta: DataFrame, log_priors: DataFrame)
     score = log_priors.join(x, ["row_id", "k"], "left").select("row_id", "k", (F.col("log_prior") + F.coalesce("s", F.lit(0.0))).alias("score"))
     # one row per record and class: a record's classes are few, so they are put together in arrays
     rows = score.groupBy("row_id").agg(F.collect_list(F.struct("k", "score")).alias("c"))
-    best = F.array_max(F.col("c.score"))
-    ll = best + F.log(F.aggregate("c", F.lit(0.0), lambda a, e: a + F.exp(e["score"] - F.array_max(F.col("c.score")))))
-    return rows.withColumn("ll", ll).select("row_id", "ll", F.explode("c").alias("e")).select("row_id", F.col("e.k").alias("k"), F.exp(F.col("e.score") - F.col("ll")).alias("post"), "ll")
+    return rows.withColumn("ll", log_normalizer("c.score")).select("row_id", "ll", F.explode("c").alias("e")).select("row_id", F.col("e.k").alias("k"), F.exp(F.col("e.score") - F.col("ll")).alias("post"), "ll")
 
 
 def emissions(triplets: DataFrame, post: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -48,9 +47,8 @@ def m_step_ml(num: DataFrame, den: DataFrame) -> DataFrame:
 
 def feature_rates(triplets: DataFrame) -> DataFrame:
     """(col_id, rate): share of all entries."""
-    n = triplets.agg(F.sum("value").alias("nnz"), F.lit(1).alias("one"))
-    per = triplets.groupBy("col_id").agg(F.sum("value").alias("n"), F.lit(1).alias("one"))
-    return per.join(F.broadcast(n), "one").select("col_id", F.try_divide("n", "nnz").alias("rate"))
+    nnz = triplets.agg(F.sum("value")).scalar()
+    return triplets.groupBy("col_id").agg(F.sum("value").alias("n")).select("col_id", F.try_divide(F.col("n"), nnz).alias("rate"))
 
 
 def m_step_map(num: DataFrame, den: DataFrame, rates: DataFrame, weight: float) -> DataFrame:

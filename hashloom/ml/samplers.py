@@ -27,8 +27,8 @@ def binomial_rows(rows: DataFrame, rates: DataFrame, seed: int = 0) -> DataFrame
     n = rates.count()
     if n > 1_000_000:
         raise ValueError("more than a million rates")
-    packed = rates.agg(F.sort_array(F.collect_list(F.struct("col_id", "rate"))).alias("r"), F.lit(1).alias("one"))
-    each = rows.select("row_id", F.lit(1).alias("one")).join(F.broadcast(packed), "one").select("row_id", F.explode("r").alias("x"))
+    packed = rates.agg(F.sort_array(F.collect_list(F.struct("col_id", "rate")))).scalar()
+    each = rows.select("row_id", F.explode(packed).alias("x"))
     return each.where(draw(F.col("row_id"), F.col("x.col_id"), seed=seed) < F.col("x.rate")).select("row_id", F.col("x.col_id").alias("col_id"))
 
 

@@ -37,12 +37,12 @@ def compare(long: DataFrame, slices: DataFrame, prior: float = 5.0, tests: dict[
     Welch's t, sparse ones for binary and get the smoothed ratio of rates, unless ``tests`` ("t" or "ratio" by column) says
     otherwise; sums of squares are taken for any column. Both slices are summed up in one pass.
     """
-    n = slices.agg(F.count_if("is_target").cast("double").alias("tn"), F.count_if(~F.col("is_target")).cast("double").alias("rn"), F.lit(1).alias("one"))
+    size = lambda c: slices.agg(F.count_if(c).cast("double")).scalar()
     x = F.col("value").cast("double")
     on = lambda c: F.coalesce(F.sum(F.when(F.col("is_target"), c)), F.lit(0.0))
     off = lambda c: F.coalesce(F.sum(F.when(~F.col("is_target"), c)), F.lit(0.0))
     sums = long.join(slices, "row_id").groupBy("col", "kind").agg(on(x).alias("ts"), on(x * x).alias("tq"), off(x).alias("rs"), off(x * x).alias("rq"))
-    one = sums.withColumn("one", F.lit(1)).join(F.broadcast(n), "one")
+    one = sums.withColumn("tn", size(F.col("is_target"))).withColumn("rn", size(~F.col("is_target")))
     default = F.when(F.col("kind") == "dense", "t").otherwise("ratio")
     if tests:
         chosen = default

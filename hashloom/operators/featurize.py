@@ -17,9 +17,10 @@ from hashloom.operators.dictionary import complete_dictionary, enumerate_hashes
 from hashloom.operators.matrix import SparseMatrix
 
 
-def tokens(documents: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row_id, feature): maximal runs of letters of the lower-cased text, repeated ones repeated."""
-    words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}]+"), lambda w: w != "")
+def tokens(documents: DataFrame, row_id: str = "doc_id", text: str = "text", distinct: bool = False) -> DataFrame:
+    """(row_id, feature): maximal runs of letters of the lower-cased text, repeated ones repeated, or once per record if ``distinct``."""
+    words = F.split(F.lower(F.col(text)), r"[^\p{L}]+")
+    words = F.array_remove(F.array_distinct(words) if distinct else words, "")
     return documents.select(F.col(row_id).alias("row_id"), F.explode(words).alias("feature"))
 
 
@@ -109,8 +110,7 @@ def histogram_cutoff(histo: DataFrame, at_most: int) -> DataFrame:
 def select_features(counts: DataFrame, min_count: float = 10, top: int = 1_000_000) -> DataFrame:
     """(feature, cnt) with at least ``min_count``, and above the cutoff for the ``top`` most frequent ones."""
     enough = counts.where(F.col("cnt") >= min_count)
-    cut = histogram_cutoff(histogram(enough), top).withColumn("one", F.lit(1))
-    return enough.withColumn("one", F.lit(1)).join(F.broadcast(cut), "one").where("cnt > cutoff").select("feature", "cnt")  # cut is one row
+    return enough.where(F.col("cnt") > histogram_cutoff(histogram(enough), top).scalar())
 
 
 def dictionary_sample(features: DataFrame, rate: float = 0.1, min_count: float = 10, top: int = 1_000_000, hash_with: Callable[[Column], Column] = native_hash, unit: Column | None = None) -> DataFrame:
@@ -125,9 +125,9 @@ def sample_report(features: DataFrame, min_count: float, top: int, hash_with: Ca
     """(ok, too_low, collisions): features kept, features below the count or cutoff, hashes with several names; exact."""
     counts = feature_counts(features)
     kept = hashed(select_features(counts, min_count, top), hash_with)
-    a = counts.agg(F.count(F.lit(1)).alias("all"), F.lit(1).alias("one"))
-    b = kept.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("ok"), F.count_if(F.col("n") > 1).alias("collisions"), F.lit(1).alias("one"))
-    return a.join(b, "one").select("ok", (F.col("all") - F.col("ok")).alias("too_low"), "collisions")
+    of_all = counts.agg(F.count(F.lit(1))).scalar()
+    b = kept.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("ok"), F.count_if(F.col("n") > 1).alias("collisions"))
+    return b.select("ok", (of_all - F.col("ok")).alias("too_low"), "collisions")
 
 
 def two_pass(features: DataFrame, row_keys: DataFrame, rate: float = 0.1, min_count: float = 10, top: int = 1_000_000, hash_with: Callable[[Column], Column] = native_hash, unit: Column | None = None) -> SparseMatrix:

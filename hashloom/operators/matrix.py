@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 from hashloom.operators.dictionary import enumerate_hashes
 
 
-def unit_rows(values: DataFrame) -> DataFrame:
-    return values.withColumn("one", F.lit(1))
-
-
 @dataclass
 class SparseMatrix:
     """triplets (row_id, col_id, value), row_keys (row_id), dictionary (hash, names, col_id)."""
@@ -51,10 +47,8 @@ class SparseMatrix:
 
     def dims(self) -> DataFrame:
         """One row (n_rows, n_cols, nnz): row keys, dictionary entries, stored cells."""
-        rows = unit_rows(self.row_keys.agg(F.count(F.lit(1)).alias("n_rows")))
-        cols = unit_rows(self.dictionary.agg(F.count(F.lit(1)).alias("n_cols")))
-        cells = unit_rows(self.triplets.agg(F.count(F.lit(1)).alias("nnz")))
-        return rows.join(cols, "one").join(cells, "one").drop("one")
+        one = lambda df: df.agg(F.count(F.lit(1))).scalar()
+        return self.triplets.agg(F.count(F.lit(1)).alias("nnz")).select(one(self.row_keys).alias("n_rows"), one(self.dictionary).alias("n_cols"), "nnz")
 
     def partition_dims(self, part: Column) -> DataFrame:
         """(part, n_rows, nnz) by an expression over row_id, so that it doesn't depend on the layout."""
@@ -92,8 +86,8 @@ class SparseMatrix:
 
     def frequent_columns(self, min_fraction: float, predicate: Column | None = None) -> DataFrame:
         """(col_id): columns in more than a fraction of the rows, and those whose (feature, hash) satisfies the predicate."""
-        n = unit_rows(self.row_keys.agg(F.count(F.lit(1)).alias("rows")))
-        often = unit_rows(self.column_sums_sparse()).join(F.broadcast(n), "one").where(F.col("n") > F.lit(min_fraction) * F.col("rows")).select("col_id")
+        rows = self.row_keys.agg(F.count(F.lit(1))).scalar()
+        often = self.column_sums_sparse().where(F.col("n") > F.lit(min_fraction) * rows).select("col_id")
         if predicate is None:
             return often
         named = self.dictionary.select("col_id", "hash", F.explode("names").alias("feature")).where(predicate).select("col_id")
@@ -158,8 +152,8 @@ class SparseMatrix:
         a = cells.select("c", F.posexplode("c").alias("i", "col_a"))
         pairs = a.select("col_a", F.explode(F.slice("c", F.col("i") + 1, F.size("c"))).alias("col_b")).groupBy("col_a", "col_b").agg(F.count(F.lit(1)).alias("n"))
         both = pairs.unionByName(pairs.where("col_a <> col_b").select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "n"))
-        one = unit_rows(chosen)
-        grid = one.select("one", F.col("col_id").alias("col_a")).join(one.select("one", F.col("col_id").alias("col_b")), "one").drop("one")
+        every = chosen.agg(F.sort_array(F.collect_list("col_id"))).scalar()  # the caller's choice of columns, as is the size of the result
+        grid = chosen.select(F.col("col_id").alias("col_a"), F.explode(every).alias("col_b"))
         return grid.join(both, ["col_a", "col_b"], "left").select("col_a", "col_b", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
     # products

@@ -199,8 +199,8 @@ def quantiles(values: DataFrame, col: str, qs: Iterable[float]) -> DataFrame:
     if any(not 0 <= q <= 1 for q in wanted):
         raise ValueError("quantiles lie between 0 and 1")
     counted = values.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    bounds = counted.agg(F.percentile_approx("x", [i / 256 for i in range(1, 256)], 10_000).alias("b")).withColumn("one", F.lit(1))
-    ranged = counted.withColumn("one", F.lit(1)).join(F.broadcast(bounds), "one").withColumn("r", F.size(F.filter("b", lambda v: v < F.col("x")))).select("x", "n", "r")
+    bounds = counted.agg(F.percentile_approx("x", [i / 256 for i in range(1, 256)], 10_000)).scalar()
+    ranged = counted.withColumn("b", bounds).withColumn("r", F.size(F.filter("b", lambda v: v < F.col("x")))).select("x", "n", "r")
     sizes = ranged.groupBy("r").agg(F.sum("n").alias("m"))
     w = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most 256 rows
     starts = sizes.select("r", (F.sum("m").over(w) - F.col("m")).alias("before"), F.sum("m").over(Window.partitionBy(F.lit(1))).alias("all"))

@@ -75,9 +75,7 @@ def plan_from_loads(loads: DataFrame, key: str, load: str, tasks: int | None = N
     spark = loads.sparkSession
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     per_key = loads.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{load}`").alias("n"))
-    whole = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("__total"), F.lit(1).alias("__one"))
-    # the limit comes from the one-row total inside the same job: loads aren't computed twice for it
-    ranked = per_key.withColumn("__one", F.lit(1)).join(F.broadcast(whole), "__one")
+    ranked = per_key.withColumn("__total", per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint")).scalar())
     heavy_key = F.col("n") >= F.greatest(F.lit(2), F.ceil(F.col("__total") / tasks * heavy_share))
     summary = (
         ranked.groupBy(

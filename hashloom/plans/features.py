@@ -27,7 +27,10 @@ def _keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _matrix(spark: SparkSession, d: str) -> SparseMatrix:
-    return X.one_pass(_tokens(spark, d), _keys(spark, d), md5_hash)
+    """All tokens. The dictionary is written once between the passes, as it is used in every one of them."""
+    tokens = X.tokens(table(spark, d, "documents"), distinct=True)
+    dictionary = checkpointed(D.complete_dictionary(X.hashed(tokens.select("feature").distinct(), md5_hash)))
+    return X.with_dictionary(tokens, _keys(spark, d), dictionary, md5_hash)
 
 
 def feat_dims(spark, d):
@@ -80,28 +83,31 @@ def vectors_packed(spark, d):
 
 def count_matrix(spark, d):
     """Token counts; the count vectors of the same dictionary."""
-    counted = _tokens(spark, d).withColumn("cnt", F.lit(1.0))
-    m = X.one_pass(counted, _keys(spark, d), md5_hash)
+    tokens = _tokens(spark, d)
+    dictionary = checkpointed(D.complete_dictionary(X.hashed(tokens.select("feature").distinct(), md5_hash)))
+    m = X.with_dictionary(tokens.withColumn("cnt", F.lit(1.0)), _keys(spark, d), dictionary, md5_hash)
     return m.triplets.select("row_id", "col_id", F.col("value").cast("bigint").alias("tf"))
 
 
 def two_pass_dims(spark, d):
     """Size of the matrix over the selected dictionary: documents without a known token stay rows."""
-    return X.two_pass(_tokens(spark, d), _keys(spark, d), 1.0, 10, 500, md5_hash).dims()
+    return _top(spark, d).dims()
 
 
 def two_pass_counts(spark, d):
     """Column sums of the count matrix over the selected dictionary."""
-    counted = _tokens(spark, d).withColumn("cnt", F.lit(1.0))
-    return X.two_pass(counted, _keys(spark, d), 1.0, 10, 500, md5_hash).column_sums().select("col_id", "n", F.col("total").cast("bigint").alias("total"))
+    return _top(spark, d, counts=True).column_sums().select("col_id", "n", F.col("total").cast("bigint").alias("total"))
 
 
 def colsums_binary(spark, d):
     return _matrix(spark, d).column_sums().select("col_id", "n")
 
 
-def _top(spark, d) -> SparseMatrix:
-    return X.two_pass(_tokens(spark, d), _keys(spark, d), 1.0, 10, 500, md5_hash)
+def _top(spark, d, counts: bool = False) -> SparseMatrix:
+    """The matrix of the 500 most frequent tokens; the dictionary is written between the two passes."""
+    dictionary = checkpointed(X.dictionary_sample(_tokens(spark, d), 1.0, 10, 500, md5_hash))
+    tokens = _tokens(spark, d).withColumn("cnt", F.lit(1.0)) if counts else X.tokens(table(spark, d, "documents"), distinct=True)
+    return X.with_dictionary(tokens, _keys(spark, d), dictionary, md5_hash)
 
 
 def cooccurrence_top(spark, d):

@@ -9,6 +9,7 @@ from hashloom.functions.hashing import md5_hash
 from hashloom.ml import dirichlet, lda, logistic, naive_bayes
 from hashloom.operators import featurize as X
 from hashloom.operators.matrix import SparseMatrix
+from hashloom.plans.features import _SEL, _top
 from hashloom.plans.tables import table
 from hashloom.session import checkpointed
 
@@ -17,8 +18,7 @@ SOFT = 0.7
 
 
 def _matrix(spark, d) -> SparseMatrix:
-    docs = table(spark, d, "documents")
-    return X.two_pass(X.tokens(docs), docs.select(F.col("doc_id").alias("row_id")), 1.0, 10, 500, md5_hash)
+    return _top(spark, d)
 
 
 def _positive():
@@ -167,8 +167,6 @@ QUERIES = {
     )
 }
 
-from hashloom.plans.features import _SEL  # noqa: E402
-
 _NB = _SEL + """,
 b AS (SELECT DISTINCT row_id, col_id FROM sc),
 pr AS (SELECT doc_id AS row_id, k, CASE WHEN coalesce(source = 'harbour_reel', false) = (k = 1) THEN 0.7::DOUBLE ELSE 1 - 0.7::DOUBLE END AS p FROM documents, (VALUES (0), (1)) t(k)),
