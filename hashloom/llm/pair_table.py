@@ -58,8 +58,8 @@ class PairTable:
         self.versions: dict[int, str] = {}  # bucket -> version; at most ``buckets`` entries
         self.items_at: str | None = None
         self.baskets = 0
-        self._touched_items: str | None = None
-        self._touched_pairs: str | None = None
+        self._touched_items: DataFrame | None = None
+        self._touched_pairs: DataFrame | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> PairTable:
@@ -96,13 +96,12 @@ class PairTable:
         pair_deltas(signed).withColumn("bucket", self._bucket()).repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(delta)
         changed = self.spark.read.schema(f"{_PAIRS}, bucket int").parquet(delta)
         hit = sorted(r["bucket"] for r in changed.select("bucket").distinct().collect())  # at most ``buckets`` numbers
+        first = bool(hit) and not self.versions
         if hit:
-            old = self.pairs(hit)
-            merged = changed.select("a", "b", "n").unionByName(old) if any(b in self.versions for b in hit) else None
-            if merged is None:
-                self.versions |= {b: f"{version}/delta" for b in hit}
+            if first:
                 self._move_first(version, hit)
             else:
+                merged = changed.select("a", "b", "n").unionByName(self.pairs(hit))
                 out = merged.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n <> 0").withColumn("bucket", self._bucket())
                 out.repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{version}/pairs")
                 kept = {r["bucket"] for r in self.spark.read.schema(f"{_PAIRS}, bucket int").parquet(f"{self.path}/{version}/pairs").select("bucket").distinct().collect()}
@@ -115,7 +114,7 @@ class PairTable:
         at = f"{self.path}/{version}/items"
         item_delta.unionByName(self.items()).groupBy("item").agg(F.sum("n").alias("n")).where("n <> 0").write.parquet(at)
         self.items_at, self.baskets = at, self.baskets + new_baskets
-        self._touched_items, self._touched_pairs = item_delta, changed
+        self._touched_items, self._touched_pairs = item_delta, self.pairs() if first else changed
         self._step += 1
         row = [(self._step, self.buckets, self.versions, self.items_at, self.baskets)]
         self.spark.createDataFrame(row, "step int, buckets int, versions map<int,string>, items_at string, baskets bigint").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
@@ -151,5 +150,6 @@ class PairTable:
             return self.scores(least, share).limit(0)
         touched = self._touched_items.select(F.col("item").alias("t"))
         pairs = self.pairs()
-        hit = pairs.join(touched, pairs.a == touched.t, "left_semi").unionByName(pairs.join(touched, pairs.b == touched.t, "left_semi")).distinct()
-        return self.scores(least, share, hit)
+        own = pairs.join(self._touched_pairs.select("a", "b"), ["a", "b"], "left_semi")  # counts may move where both items' counts stay
+        hit = own.unionByName(pairs.join(touched, pairs.a == touched.t, "left_semi")).unionByName(pairs.join(touched, pairs.b == touched.t, "left_semi"))
+        return self.scores(least, share, hit.distinct())
