@@ -76,7 +76,8 @@ SENTENCES = {
 @pytest.fixture(scope="module")
 def model():
     rng = random.Random(1)
-    return garbled.train([("\n".join(rng.choice(s) for _ in range(12)), lang) for lang, s in SENTENCES.items() for _ in range(120)], 16_000)
+    rare = [(s, "fr") for s in ("See §12 and ¶ 4", "½ lb . tea ¢ 9") for _ in range(40)]  # rare but correct signs are in the sample as well
+    return garbled.train(rare + [("\n".join(rng.choice(s) for _ in range(12)), lang) for lang, s in SENTENCES.items() for _ in range(120)], 16_000)
 
 
 @pytest.mark.parametrize("read_as", ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251"])
