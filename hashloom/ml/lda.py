@@ -31,11 +31,14 @@ class LdaModel:
     updates: int = 0
 
     @classmethod
-    def start(cls, topics: int, words: int, corpus_size: int, seed: int = 0, **how) -> LdaModel:
-        """Random rows that sum to 1."""
+    def start(cls, topics: int, words: int, corpus_size: int, seed: int = 0, even: bool = False, **how) -> LdaModel:
+        """Random rows that sum to 1. ``even`` starts near 1 in every cell instead: words then choose their topics by document first."""
         if topics * words > LIMIT:
             raise ValueError(f"more than {LIMIT} cells of topics x words")
-        lam = np.random.default_rng(seed).random((topics, words))
+        rng = np.random.default_rng(seed)
+        if even:
+            return cls(rng.gamma(100.0, 0.01, (topics, words)), corpus_size, **how)
+        lam = rng.random((topics, words))
         return cls(lam / lam.sum(1, keepdims=True), corpus_size, **how)
 
     def rho(self) -> float:

@@ -84,7 +84,7 @@ def test_lda_separates_blocks_and_raises_the_bound(spark):
     rng = np.random.default_rng(0)
     docs = [(i, sorted({int(w) for w in rng.integers(0, 20, 12) + 20 * (i % 2)})) for i in range(60)] + [(60, [])]
     v = spark.createDataFrame(docs, "row_id bigint, col_ids array<bigint>").cache()
-    m = lda.LdaModel.start(2, 40, 61, seed=1, tau0=1.0, alpha=0.1, eta=0.1)
+    m = lda.LdaModel.start(2, 40, 61, seed=1, even=True, tau0=1.0, alpha=0.1, eta=0.1)
     before = m.bound(v)
     for _ in range(5):
         m.learn(v)
@@ -145,18 +145,17 @@ def test_samplers(spark):
     assert [r[0] for r in df.select(samplers.multinomial("c", F.col("u"))).collect()] == [0, 1, 1, None]
 
 
-class _Mean:
-    def start(self):
-        return np.zeros(2)
-
-    def add(self, batch, into, state):
-        into += [batch["x"].sum(), len(batch)]
+def test_iteration_counts_and_starts_from_zero(spark):
+    class _Mean:
+        def start(self):
+            return np.zeros(2)
 
-    def end(self, iteration, sums):
-        return iteration >= 2
+        def add(self, batch, into, state):
+            into += [batch["x"].sum(), len(batch)]
 
+        def end(self, iteration, sums):
+            return iteration >= 2
 
-def test_iteration_counts_and_starts_from_zero(spark):
     sums, rounds = iterate.run(spark.createDataFrame([(float(i),) for i in range(10)], "x double"), _Mean(), 5)
     assert rounds == 2 and sums.tolist() == [45.0, 10.0]
     a = spark.createDataFrame([("u", [1.0, 2.0]), ("u", [3.0, 4.0])], "k string, a array<double>")
