@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +55,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/hashloom/{name}-{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends the package's modules to the executors, once per context, so that Python workers find them whatever their path is."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_hashloom_shipped", False):
+        package = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="hashloom-")) / "hashloom.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(str(target))
+        sc._hashloom_shipped = True
+    return spark
