@@ -17,10 +17,22 @@ def enumerate_hashes(hashes: DataFrame, key: str = "hash", col: str = "col_id")
     Ranks are taken within ranges given by the top 12 bits; the sizes of at most 4,096 ranges are summed up first, so no task
     ever sorts the whole dictionary.
     """
-    known = hashes.where(F.col(key).isNotNull()).withColumn("__range", F.shiftright(F.col(key), 52))
+    return _ranked(hashes.where(F.col(key).isNotNull()).withColumn("__range", F.shiftright(F.col(key), 52)), key, col)
+
+
+def enumerate_ids(ids: DataFrame, key: str, col: str) -> DataFrame:
+    """The same for BIGINT keys that aren't hashes: 4,096 ranges of equal width between the smallest and the largest key."""
+    known = ids.where(F.col(key).isNotNull())
+    low = known.agg(F.min(key).cast("double")).scalar()
+    width = known.agg((F.max(key).cast("double") - F.min(key).cast("double"))).scalar()
+    at = F.floor(F.coalesce(F.try_divide(F.col(key).cast("double") - low, width), F.lit(0.0)) * 4095)  # never falls as the key rises
+    return _ranked(known.withColumn("__range", at), key, col)
+
+
+def _ranked(known: DataFrame, key: str, col: str) -> DataFrame:
     sizes = known.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n")
-    starts = F.broadcast(sizes.select("__range", before.alias("__before")))
+    starts = F.broadcast(sizes.select("__range", before.alias("__before")))  # at most 4,096 rows
     rank = F.row_number().over(Window.partitionBy("__range").orderBy(key))
     return known.join(starts, "__range").withColumn(col, (F.col("__before") + rank - 1).cast("bigint")).drop("__range", "__before")
 

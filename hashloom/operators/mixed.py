@@ -9,7 +9,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hashloom.operators.dictionary import enumerate_hashes
+from hashloom.operators.dictionary import enumerate_ids
 
 
 class UnknownFeature(TypeError):
@@ -150,7 +150,7 @@ def _unpivot(one_row: DataFrame, cols: list[str]) -> DataFrame:
 
 def positioned(keys: DataFrame, key: str = "row_id") -> DataFrame:
     """``keys`` with ``position``: the 0-based rank in ascending order of a BIGINT key, without a sort of everything in one task."""
-    return enumerate_hashes(keys.withColumnRenamed(key, "hash"), "hash", "position").withColumnRenamed("hash", key)
+    return enumerate_ids(keys, key, "position")
 
 
 @dataclass
@@ -185,7 +185,7 @@ def minibatches(rows: DataFrame, order: str, size: int) -> DataFrame:
     """``rows`` with ``batch``: consecutive batches of ``size`` in the order of a distinct BIGINT column, the last one may be short."""
     if size < 1:
         raise ValueError("size must be positive")
-    at = positioned(rows.select(order).withColumnRenamed(order, "row_id")).select(F.col("row_id").alias(order), F.floor(F.col("position") / size).cast("bigint").alias("batch"))
+    at = positioned(rows.select(order), order).select(order, F.floor(F.col("position") / size).cast("bigint").alias("batch"))
     return rows.join(at, order)
 
 
