@@ -30,8 +30,7 @@ def term_scores(records: DataFrame, row_id: str = "row_id", items: str = "cols",
     A few terms hold most entries, so the margins are joined by shards of heavy terms.
     """
     margins = checkpointed(term_margins(records, items))
-    totals = margins.agg(F.coalesce(F.sum("col_total"), F.lit(0)).alias("n"), F.lit(1).alias("one"))
-    n_records = records.agg(F.count(F.lit(1)).alias("n_records"), F.lit(1).alias("one"))
+    entries, n_records = margins.agg(F.sum("col_total")).scalar(), records.agg(F.count(F.lit(1))).scalar()
     chosen = records.select(F.col(row_id).alias("row_id"), F.col(items).alias("items"))
     if only is not None:
         chosen = chosen.join(only.select(F.col(row_id).alias("row_id")).where("row_id is not null").distinct(), "row_id", "left_semi")
@@ -41,9 +40,8 @@ def term_scores(records: DataFrame, row_id: str = "row_id", items: str = "cols",
     plan = plan_from_loads(margins.select(F.col("term"), F.col("df")), "term", "df")
     x = (
         balanced_join(cells, margins, "term", "inner", plan, ["row_id"])
-        .withColumn("one", F.lit(1))
-        .join(F.broadcast(totals), "one")  # a single row
-        .join(F.broadcast(n_records), "one")
+        .withColumn("n", entries)
+        .withColumn("n_records", n_records)
         .withColumn("expected", F.col("row_total") * F.col("col_total") / F.col("n"))
     )
     residual = (F.col("tf") - F.col("expected")) / F.sqrt("expected")

@@ -62,7 +62,6 @@ def marked(frequencies: DataFrame, totals: DataFrame, rare_below: int, common_sh
 
     ``totals`` is one row with n, the number of all records. An item that is both is marked rare.
     """
-    one = totals.select("n", F.lit(1).alias("__one"))
-    joined = frequencies.withColumn("__one", F.lit(1)).join(F.broadcast(one), "__one")
-    mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > F.lit(common_share) * F.col("n"), "common")
-    return joined.withColumn("mark", mark).drop("__one", "n")
+    n = totals.select("n").scalar()
+    mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > F.lit(common_share) * n, "common")
+    return frequencies.withColumn("mark", mark)
