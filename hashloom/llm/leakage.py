@@ -3,12 +3,12 @@
 Words are reduced to the letters and digits that survive scanning: lower case, nothing but ASCII letters and digits (so accents and
 whatever garbled them vanish on both sides), letters that scanners take for one another as one. The terms of the index are pairs of
 neighbouring words: columns read across each other and adverts leave most of them whole, and unrelated pages hardly have any.
-Every page is cut into overlapping passages; each passage is a query of distinct terms against the index of items. Items stand in
-blocks; per term and block the largest impact is kept, and a block is scored only if these bounds reach the block's lowest
+Every page is one query of its distinct terms against the index of items, so that the parts of a reproduction count together however
+far apart they stand. Items stand in blocks; per term and block the largest impact is kept, and a block is scored only if these bounds reach the block's lowest
 threshold. An item's threshold is a fraction of the least score that ``least`` successive words of it could give.
 
-Hits are verified by aligning page and item: words in the same order, words of other columns or adverts in between allowed, words
-lost to misreadings allowed, single words that merely happen to recur left out. Words weigh as much as they tell items apart, so
+Hits are verified by aligning page and item: words in the same order, any number of words of other columns or adverts in between
+allowed, words lost to misreadings allowed, single words that merely happen to recur left out. Words weigh as much as they tell items apart, so
 that items made after one pattern aren't taken for each other.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -29,12 +30,10 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 #: Items per block of the index, and items per index: larger sets of items are matched index by index.
 BLOCK, SHARD = 16, 2048
-#: Words of a passage and of the step to the next.
-PASSAGE, STEP = 256, 128
-#: Share of the least possible score of ``least`` successive words that a passage must reach.
+#: Share of the least possible score of ``least`` successive words that a page must reach.
 TOLERANCE = 0.45
-#: Longest stretch of foreign words within a reproduced passage, and of item words lost at one place.
-PAGE_GAP, ITEM_GAP = 60, 7
+#: Longest stretch of item words lost at one place. Foreign words of the page may lie in between in any number.
+ITEM_GAP = 7
 #: What a lost word of the item costs against its weight.
 LOST = 0.6
 #: Share of the weight of ``least`` successive words that must be found. Reproductions have at least ``least`` words, other shared runs less than half.
@@ -105,25 +104,20 @@ def _least_score(terms: list[int], impact: np.ndarray, least: int) -> float:
 
 
 def candidates(page: list[bytes], index: Index) -> list[int]:
-    """Positions of the items that some passage of the page scores for."""
+    """Positions of the items that the page scores for."""
     if not index.ids:
         return []
-    known = [*map(index.terms.get, pairs(page))]
-    if not any(t is not None for t in known):
+    query = [*{*map(index.terms.get, pairs(page))} - {None}]
+    if len(query) * index.peak < index.least_need or not query:  # no block can reach its threshold
         return []
-    found: set[int] = set()
-    for start in range(0, max(1, len(known) - PASSAGE + STEP), STEP):
-        query = [*{*known[start : start + PASSAGE]} - {None}]
-        if len(query) * index.peak < index.least_need:  # no block can reach its threshold
-            continue
-        q = np.array(query)
-        blocks = np.flatnonzero(index.bounds[q].sum(0) >= index.block_need)
-        if len(blocks):
-            own = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            own = own[own < len(index.ids)]
-            score = index.impacts[q[:, None], own].sum(0)
-            found.update(own[score >= index.need[own]].tolist())
-    return sorted(found)
+    q = np.array(query)
+    blocks = np.flatnonzero(index.bounds[q].sum(0) >= index.block_need)
+    if not len(blocks):
+        return []
+    own = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+    own = own[own < len(index.ids)]
+    score = index.impacts[q[:, None], own].sum(0)
+    return sorted(own[score >= index.need[own]].tolist())
 
 
 def alignment(at: dict[bytes, list[int]], item: list[bytes], weight: list[float], least: int) -> float:
@@ -155,19 +149,24 @@ def alignment(at: dict[bytes, list[int]], item: list[bytes], weight: list[float]
     bound = share({q for _, q in points})  # whatever their order on the page
     if bound < ENOUGH:
         return bound
-    points.sort()
-    best, back, low = [0.0] * len(points), [-1] * len(points), 0
-    for j, (p, q) in enumerate(points):
-        while points[low][0] < p - PAGE_GAP:
-            low += 1
-        score, whence, before = 0.0, -1, upto[q]
-        for i in range(j - 1, low - 1, -1):
-            qi = points[i][1]
-            if 0 < q - qi <= ITEM_GAP + 1 and points[i][0] < p:
-                s = best[i] - LOST * (before - upto[qi + 1])
-                if s > score:
-                    score, whence = s, i
-        best[j], back[j] = score + weight[q], whence
+    points.sort(key=lambda x: (x[1], x[0]))
+    best, back = [0.0] * len(points), [-1] * len(points)
+    done_at: dict[int, tuple[list[int], list[int]]] = {}  # by item position: page positions, and the best point up to each
+    j = 0
+    while j < len(points):
+        q, at_q, tops = points[j][1], [], []
+        before = [(done_at[i], LOST * (upto[q] - upto[i + 1])) for i in range(q - 1, q - ITEM_GAP - 2, -1) if i in done_at]
+        while j < len(points) and points[j][1] == q:
+            p, score, whence = points[j][0], 0.0, -1
+            for (places, leads), cost in before:
+                k = bisect_left(places, p) - 1
+                if k >= 0 and (s := best[leads[k]] - cost) > score:
+                    score, whence = s, leads[k]
+            best[j], back[j] = score + weight[q], whence
+            at_q.append(p)
+            tops.append(tops[-1] if tops and best[tops[-1]] > best[j] else j)
+            j += 1
+        done_at[q] = at_q, tops
     top, done = 0.0, set()
     for j in sorted(range(len(points)), key=lambda j: -best[j])[:8]:
         found, i = [], j

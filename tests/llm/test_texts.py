@@ -49,6 +49,18 @@ def test_leaks(spark):
     assert found(spark, docs, items) == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (7, 7), (10, 8)}
 
 
+def test_leaks_however_much_lies_in_between(spark):
+    items = [(i, item(i)) for i in range(20)]
+    docs = []
+    for i in range(9):
+        w, parts, gap = item(i).split()[4:29], 2 + i // 3, (104, 300, 1200)[i % 3]
+        cut = [" ".join(w[k * 25 // parts : (k + 1) * 25 // parts]) for k in range(parts)]
+        between = [" ".join(f"{x}{k}q" for x in page(40 + i, gap).split()) for k in range(parts)]
+        docs.append((i, "\n".join(x for pair in zip(between, cut) for x in pair)))
+        docs.append((100 + i, "\n".join(x for pair in zip(between, cut[::-1]) for x in pair)))  # the parts in another order
+    assert found(spark, docs, items) == {(i, i) for i in range(9)}
+
+
 def test_leaks_by_shard_and_empty(spark):
     items = spark.createDataFrame([(i, item(i)) for i in range(9)], "item_id bigint, text string")
     docs = spark.createDataFrame([(i, page(i) + " " + item(i)) for i in range(9)], "doc_id bigint, text string")
