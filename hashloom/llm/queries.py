@@ -87,12 +87,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return found.where("cast(n as decimal(38, 0)) * baskets >= 4 * cast(n_a as decimal(19, 0)) * n_b").select(F.col("a").alias("col_a"), F.col("b").alias("col_b"))
 
 
-def p5_scores(spark: SparkSession, d: str) -> DataFrame:
-    """(col_a, col_b, n, lift, npmi) of every pair of columns in at least 5 records."""
-    s = _pair_table(spark, d).scores(5)
+def _scored(s: DataFrame) -> DataFrame:
     return s.select(F.col("a").alias("col_a"), F.col("b").alias("col_b"), "n", F.round("lift", 6).alias("lift"), F.round("npmi", 6).alias("npmi"))
 
 
+def p5_scores(spark: SparkSession, d: str) -> DataFrame:
+    """(col_a, col_b, n, lift, npmi) of every pair of columns in at least 5 records, as its SQL has it; p5_pairs has all pairs."""
+    return _scored(_pair_table(spark, d).scores(5))
+
+
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """(col_a, col_b, n, lift, npmi) of every pair of columns that stands together in any record."""
+    return _scored(_pair_table(spark, d).scores())
+
+
 def _frequencies(spark: SparkSession, d: str) -> DataFrame:
     blocks, rows = table(spark, d, "matrix_blocks"), table(spark, d, "dictionary_count_rows")
     cols = matrix_records(blocks).select("row_id", F.explode(F.col("cols").cast("array<bigint>")).alias("item"))
@@ -156,7 +164,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_classes, p2_found, p2_totals, p4_found, p4_residuals, p5_found, p5_scores, p6_found, p6_frequencies,
+        p1_found, p1_classes, p2_found, p2_totals, p4_found, p4_residuals, p5_found, p5_scores, p5_pairs, p6_found, p6_frequencies,
         p7_sample, p7_weighted, p8_found, p9_mix, p9_report, p10_found, p10_restored,
     )
 }

@@ -1,11 +1,13 @@
 import random
 from collections import Counter
+from datetime import datetime
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from hashloom.llm.heavy_hitters import ConservativeSketch, frequent, heavy_hitters
 from hashloom.llm.pair_table import PairTable, basket_changes
+from hashloom.llm.queries import QUERIES
 from hashloom.llm.residuals import term_scores
 from hashloom.llm.stable_sample import SampleStore, running_weights, stable_sample
 from hashloom.llm.term_stats import marked, term_frequencies
@@ -91,6 +93,30 @@ def test_incremental_pairs_equal_recount(spark, tmp_path):
     assert t.pairs().count() == 0 and t.items().count() == 0 and t.baskets == 0
 
 
+def blocks_of(spark, path, records, per=50):
+    """matrix_blocks with the given records (row id -> columns), numbered from 0."""
+    rows = []
+    for k in range(0, len(records), per):
+        own = [records[r] for r in range(k, min(k + per, len(records)))]
+        starts = np.cumsum([0, *map(len, own)]).tolist()
+        rows.append((k, k, len(own), 99, [c for r in own for c in r], starts, datetime(2020, 1, 1 + k // per)))
+    schema = "block_id bigint, first_row_id bigint, n_rows int, n_cols int, col_ids array<int>, row_start_idx array<int>, written_at timestamp"
+    spark.createDataFrame(rows, schema).write.parquet(f"{path}/matrix_blocks.parquet")
+
+
+def test_every_pair_has_a_score(spark, tmp_path):
+    rng = random.Random(7)
+    records = {r: [rng.randrange(40) for _ in range(rng.randrange(6))] for r in range(170)}
+    blocks_of(spark, tmp_path, records)
+    want, df = pair_counts(records), Counter(x for b in records.values() for x in {*b})
+    assert min(want.values()) == 1
+    got = {(r.col_a, r.col_b): r for r in QUERIES["p5_pairs"](spark, str(tmp_path)).collect()}
+    assert {p: r.n for p, r in got.items()} == want
+    for (a, b), r in got.items():
+        lift = r.n * 170 / (df[a] * df[b])
+        assert abs(r.lift - lift) < 1e-5 and abs(r.npmi - np.log(lift) / -np.log(r.n / 170)) < 1e-5
+
+
 def test_term_frequencies(spark):
     rng = random.Random(2)
     rows = [(rng.choice(["hot"] * 5 + [f"t{i}" for i in range(40)]), rng.randrange(60)) for _ in range(4000)] + [(None, 1), ("x", None)]
