@@ -15,7 +15,7 @@ from __future__ import annotations
 import codecs
 import re
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -23,14 +23,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hashloom.session import checkpointed
+
 #: Charsets a text is wrongly read with, and those its bytes may have been in.
 READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251")
 WAS_SINGLE = "cp1252"
 #: Names of languages as they are written in the column lang.
 LANGUAGES = {"en": "en", "eng": "en", "fr": "fr", "fra": "fr", "fre": "fr", "de": "de", "deu": "de", "ger": "de", "es": "es", "spa": "es"}
-#: Documented bound of the sample the dictionaries are trained on, in pages, and the size of a dictionary in bytes.
+#: Documented bound of the sample the dictionaries are trained on, in pages (languages with few pages come on top), and the size of a dictionary in bytes.
 SAMPLE_PAGES, DICTIONARY_BYTES = 4000, 64_000
-#: A character is ordinary in a language if at least this share of the sample's lines with any character beyond ASCII have it.
+#: Documented bound of the known words: one that is less than this part of all words beyond ASCII, or stands once, counts as unknown.
+KNOWN_WORDS = 500_000
+#: A character is ordinary in a language if at least this share of the language's lines with any character beyond ASCII have it.
 ORDINARY = 0.002
 #: Bytes a foreign character costs beside its marker.
 FOREIGN_COST = 3
@@ -120,7 +124,7 @@ class Alphabet:
 
 @dataclass
 class Model:
-    """Dictionaries and known words; both come from a bounded sample and are small enough to be sent to every worker."""
+    """Dictionaries of a bounded sample, known words and characters of all texts; small enough to be sent to every worker."""
 
     dictionaries: dict[str, bytes] = field(default_factory=dict)
     alphabets: dict[str, str] = field(default_factory=dict)
@@ -144,28 +148,49 @@ def suspicious(text: str) -> bool:
     return bool(_NEVER.search(text)) or any(p.search(text) for c, p in _LEAD.items() if c != "mac_roman")
 
 
-def train(sample: list[tuple[str, str | None]], size: int = DICTIONARY_BYTES) -> Model:
-    """Dictionaries of the lines of ``sample`` (text, language) without suspicious characters, and how often their words occur.
+def counted(texts: Iterable[tuple[str | None, str | None]]) -> Counter:
+    """(kind, language, key) -> n over the lines of ``texts`` (text, language) with a character beyond ASCII and no suspicious one.
+
+    Kinds are line, char (lines with the character) and word (of all languages together).
+    """
+    out: Counter = Counter()
+    for text, lang in texts:
+        if not text or text.isascii():
+            continue
+        name = _language(lang)
+        for line in text.split("\n"):
+            if not line.isascii() and not suspicious(line):
+                out["line", name, ""] += 1
+                out.update(("word", "", _shape(w)) for w in _TOKEN.findall(line))
+                out.update(("char", name, c) for c in {*line} if c > "\x7f")
+    return out
+
+
+def _language(lang: str | None) -> str:
+    return LANGUAGES.get((lang or "").lower(), "other")
+
+
+def train(sample: list[tuple[str, str | None]], size: int = DICTIONARY_BYTES, counts: dict | None = None) -> Model:
+    """Dictionaries of the lines of ``sample`` (text, language) without suspicious characters; words and characters from ``counts`` or the sample.
 
     A language with too few lines for training gets its lines as they are; without any text there is one empty dictionary.
     """
-    lines, words, chars = defaultdict(list), Counter(), defaultdict(Counter)
+    counts = counted(sample) if counts is None else counts
+    lines, chars = defaultdict(list), defaultdict(dict)
     for text, lang in sample:
-        name = LANGUAGES.get((lang or "").lower(), "other")
+        name = _language(lang)
         for line in (text or "").split("\n"):
-            if line.isascii():
-                if line:
-                    lines[name].append(line)
-            elif not suspicious(line):
+            if line and (line.isascii() or not suspicious(line)):
                 lines[name].append(line)
-                words.update(map(_shape, _TOKEN.findall(line)))
-                chars[name].update({c for c in line if c > "\x7f"})
-    model = Model(words={w: n for w, n in words.items() if n > 1})
+    for (kind, name, key), n in counts.items():
+        if kind == "char":
+            chars[name][key] = n
+    model = Model(words={key: n for (kind, _, key), n in counts.items() if kind == "word" and n > 1})
     for name, own in lines.items():
         if name == "other" and len(lines) > 1:
             continue
-        marked = sum(not x.isascii() for x in own)
-        usual = [c for c, n in chars[name].most_common(64) if n >= max(2, ORDINARY * marked)]
+        marked = counts.get(("line", name, ""), 0)
+        usual = [c for c, n in sorted(chars[name].items(), key=lambda x: (-x[1], x[0]))[:64] if n >= max(2, ORDINARY * marked)]
         model.alphabets[name] = "".join(dict.fromkeys([*usual, *(x for c in usual for x in (c.upper(), c.lower()) if len(x) == 1 and x > "\x7f")]))
         encode = Alphabet(model.alphabets[name]).encode
         encoded = [encode(x) for x in own[: 40 * size // 64]]
@@ -263,13 +288,33 @@ class Restorer:
         return marked or bool(used), "\n".join(out), used
 
 
+def corpus_counts(documents: DataFrame, known: int = KNOWN_WORDS) -> dict[tuple[str, str, str], int]:
+    """``counted`` over all documents; of the words those that stand at least twice and at least once in ``known``, so fewer than ``known``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = counted(zip(b.column("text").to_pylist(), b.column("lang").to_pylist()))
+            if own:
+                kind, lang, key = zip(*own)
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(lang), pa.array(key), pa.array([*own.values()], pa.int64())], names=["kind", "name", "key", "n"])
+
+    each = documents.select("text", "lang").mapInArrow(run, "kind string, name string, key string, n bigint")
+    counts = checkpointed(each.groupBy("kind", "name", "key").agg(F.sum("n").alias("n")))
+    words = counts.where("kind = 'word'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    kept = counts.where((F.col("kind") != "word") | ((F.col("n") > 1) & (F.col("n") * F.lit(known) >= words)))
+    return {(r["kind"], r["name"], r["key"]): r["n"] for r in kept.collect()}
+
+
 def sample_pages(documents: DataFrame, pages: int = SAMPLE_PAGES) -> list[tuple[str, str | None]]:
-    """At most ``pages`` pages by the hash of their id: the sample depends on the rows alone."""
-    n = documents.count()
+    """About ``pages`` pages by the hash of their id, and a quarter of that of each language as far as it has them."""
+    names = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    own = documents.where("text is not null").select("doc_id", "text", "lang", F.coalesce(names[F.lower("lang")], F.lit("other")).alias("name"))
+    n = {r["name"]: r["n"] for r in own.groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     if not n:
         return []
+    share = F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(max(pages / sum(n.values()), pages / 4 / v if k != "other" else 0.0)))])
     u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    rows = documents.where("text is not null").where(u < min(1.0, pages / n)).select("text", "lang").limit(pages + pages // 4)
+    rows = own.where(u < share[F.col("name")]).select("text", "lang").limit(3 * pages)
     return [(r["text"], r["lang"]) for r in rows.collect()]
 
 
@@ -280,7 +325,7 @@ def restored(documents: DataFrame, model: Model | None = None) -> DataFrame:
     each have their result.
     """
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(model or train(sample_pages(documents)))  # bounded by SAMPLE_PAGES and DICTIONARY_BYTES
+    shared = spark.sparkContext.broadcast(model or train(sample_pages(documents), counts=corpus_counts(documents)))  # bounded by SAMPLE_PAGES, DICTIONARY_BYTES, KNOWN_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(shared.value)

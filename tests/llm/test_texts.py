@@ -127,6 +127,19 @@ def test_restored_frame(spark, model):
     assert garbled.restored(df.limit(0)).count() == 0
 
 
+def test_letters_of_a_rare_language_are_known(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, "\n".join(rng.choice(SENTENCES["en"]) for _ in range(12)), "en") for i in range(400)]
+    rows += [(400 + i, "\n".join(SENTENCES["es"] * 4), "es") for i in range(3)]
+    s = SENTENCES["es"][0]
+    wrong = f"{SENTENCES['es'][2]}\n{s.encode('cp1252').decode('mac_roman')}\n{SENTENCES['es'][1]}"
+    df = spark.createDataFrame([*rows, (500, wrong, "es")], "doc_id bigint, text string, lang string")
+    real = garbled.sample_pages
+    monkeypatch.setattr(garbled, "sample_pages", lambda d: real(d, 16))
+    got = {r.doc_id: r.restored for r in garbled.restored(df).where("garbled").collect()}
+    assert set(got) == {500} and got[500].split("\n")[1] == s
+
+
 def test_expected_copies():
     c = mixing.expected_copies([("a", 0.5, 1), ("b", 0.3, None), ("c", 0.2, 2), ("gone", 0.1, None)], {"a": 100, "b": 400, "c": 500}, 1000)
     assert c["gone"] == 0 and c["a"] == 1
