@@ -17,6 +17,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import pyarrow as pa
 import zstandard
@@ -32,6 +33,8 @@ WAS_SINGLE = "cp1252"
 LANGUAGES = {"en": "en", "eng": "en", "fr": "fr", "fra": "fr", "fre": "fr", "de": "de", "deu": "de", "ger": "de", "es": "es", "spa": "es"}
 #: Documented bound of the sample the dictionaries are trained on, in pages (languages with few pages come on top), and the size of a dictionary in bytes.
 SAMPLE_PAGES, DICTIONARY_BYTES = 4000, 64_000
+#: Documented bound of the lines a dictionary of that size is trained on: of the sample's lines those with the lowest hash of their text.
+DICTIONARY_LINES = 40_000
 #: Documented bound of the known words: one that is less than this part of all words beyond ASCII, or stands once, counts as unknown.
 KNOWN_WORDS = 500_000
 #: A character is ordinary in a language if at least this share of the language's lines with any character beyond ASCII have it.
@@ -193,7 +196,8 @@ def train(sample: list[tuple[str, str | None]], size: int = DICTIONARY_BYTES, co
         usual = [c for c, n in sorted(chars[name].items(), key=lambda x: (-x[1], x[0]))[:64] if n >= max(2, ORDINARY * marked)]
         model.alphabets[name] = "".join(dict.fromkeys([*usual, *(x for c in usual for x in (c.upper(), c.lower()) if len(x) == 1 and x > "\x7f")]))
         encode = Alphabet(model.alphabets[name]).encode
-        encoded = [encode(x) for x in own[: 40 * size // 64]]
+        chosen = sorted(own, key=lambda x: (blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), x))
+        encoded = [encode(x) for x in chosen[: int(DICTIONARY_LINES * size / DICTIONARY_BYTES)]]
         try:
             model.dictionaries[name] = zstandard.train_dictionary(size, encoded, k=200, d=8).as_bytes()
         except zstandard.ZstdError:
@@ -306,15 +310,15 @@ def corpus_counts(documents: DataFrame, known: int = KNOWN_WORDS) -> dict[tuple[
 
 
 def sample_pages(documents: DataFrame, pages: int = SAMPLE_PAGES) -> list[tuple[str, str | None]]:
-    """About ``pages`` pages by the hash of their id, and a quarter of that of each language as far as it has them."""
+    """About ``pages`` pages by the hash of their id and text, rows delivered again once, and a quarter of that of each language as far as it has them."""
     names = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
     own = documents.where("text is not null").select("doc_id", "text", "lang", F.coalesce(names[F.lower("lang")], F.lit("other")).alias("name"))
     n = {r["name"]: r["n"] for r in own.groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     if not n:
         return []
     share = F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(max(pages / sum(n.values()), pages / 4 / v if k != "other" else 0.0)))])
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    rows = own.where(u < share[F.col("name")]).select("text", "lang").limit(3 * pages)
+    u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
+    rows = own.where(u < share[F.col("name")]).select("doc_id", "text", "lang").distinct()
     return [(r["text"], r["lang"]) for r in rows.collect()]
 
 

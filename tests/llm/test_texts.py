@@ -140,6 +140,21 @@ def test_letters_of_a_rare_language_are_known(spark, monkeypatch):
     assert set(got) == {500} and got[500].split("\n")[1] == s
 
 
+def test_sample_is_not_filled_by_null_ids_or_copies(spark):
+    rows = [(None, f"null {i}", "en") for i in range(500)] + [(7, "copy", "en")] * 300 + [(i, f"page {i}", "en") for i in range(1000, 2000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = garbled.sample_pages(df, 180)
+    assert 0.05 < sum(t.startswith("null") for t, _ in got) / 500 < 0.15 and sum(t == "copy" for t, _ in got) <= 1
+    assert 0.05 < sum(t.startswith("page") for t, _ in got) / 1000 < 0.15
+    assert sorted(got) == sorted(garbled.sample_pages(df.orderBy(F.desc("text")).repartition(5), 180))
+
+
+def test_dictionary_lines_do_not_depend_on_order():
+    rng = random.Random(8)
+    rows = [(f"{' '.join(rng.choice(WORDS) for _ in range(8))} {i} café", "en") for i in range(3000)]
+    assert garbled.train(rows, 2000).dictionaries == garbled.train(rows[::-1], 2000).dictionaries
+
+
 def test_expected_copies():
     c = mixing.expected_copies([("a", 0.5, 1), ("b", 0.3, None), ("c", 0.2, 2), ("gone", 0.1, None)], {"a": 100, "b": 400, "c": 500}, 1000)
     assert c["gone"] == 0 and c["a"] == 1
