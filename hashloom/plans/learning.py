@@ -113,10 +113,10 @@ def _lda(spark, d, topics: int = 5):
 
 
 def lda_step(spark, d):
-    """Topic shares of words after one update with all documents as one batch."""
+    """Every word's share of every topic after one update with all documents as one batch."""
     model, vectors = _lda(spark, d)
     model.learn(vectors)
-    rows = [(t, w, round(s, 6)) for t, words in enumerate(model.top_words(10)) for w, s in words]
+    rows = [(t, w, round(s, 6)) for t, words in enumerate(model.top_words(model.lam.shape[1])) for w, s in words]
     return spark.createDataFrame(rows, "topic int, col_id bigint, share double")
 
 

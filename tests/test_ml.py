@@ -172,3 +172,13 @@ def test_stream_batches(spark, tmp_path):
     q.awaitTermination(120)
     assert sum(seen) == 30 and len(seen) == 3
     assert sum(r.n for r in windowed_counts(df.withColumn("k", F.col("id") % 2), "t", "1 minute", "2 minutes", "k").collect()) == 30
+
+
+def test_lda_step_gives_every_word_of_every_topic(spark, monkeypatch):
+    from hashloom.plans import learning
+
+    vectors = spark.createDataFrame([(i, [i % 15, (i * 7 + 1) % 15]) for i in range(40)], "row_id bigint, col_ids array<bigint>")
+    monkeypatch.setattr(learning, "_lda", lambda *_: (lda.LdaModel.start(3, 15, 40, seed=1, tau0=1.0), vectors))
+    got = learning.lda_step(spark, "").collect()
+    assert {(r.topic, r.col_id) for r in got} == {(t, w) for t in range(3) for w in range(15)}
+    assert all(abs(sum(r.share for r in got if r.topic == t) - 1) < 1e-4 for t in range(3))
