@@ -70,8 +70,8 @@ def nb_top(spark, d):
 
 
 def nb_em(spark, d):
-    """Posteriors of the second class after at most five rounds."""
-    _, post, _ = naive_bayes.em(_matrix(spark, d).triplets, _priors(spark, d), 2.0, rounds=5)
+    """Posteriors of the second class when the log likelihood gains less than 1e-10, or after 100 rounds."""
+    _, post, _ = naive_bayes.em(_matrix(spark, d).triplets, _priors(spark, d), 2.0)
     return post.where("k = 1").select("row_id", F.round("post", 4).alias("post"))
 
 
