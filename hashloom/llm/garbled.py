@@ -1,21 +1,28 @@
 """Garbled text from wrong character encoding: description length under per-language zstandard dictionaries.
 
 A wrong decoding is undone by a chain of steps, each of which writes the text in the charset it was wrongly read with and reads the
-bytes in the charset they were in. Per line, each chain is applied to those words it can be applied to without error, the result is
-compressed with the dictionary of the page's language, and so is the line as it stands. What a chain saves over a page, less its
-own cost, decides; without a saving the line stays as it is. Only words that some chain turns into characters of the languages at
-hand are compressed at all, and of those only words that aren't better known as they stand.
-
-U+FFFD and the control characters U+0080 to U+009F are made by wrong decodings only; a page with one is reported even where no
-chain restores it.
+bytes in the charset they were in. Every word beyond ASCII is described as it stands and in each decoding that is possible without
+error. The description of a word is the shorter one of its zstandard compression and of its number in a table of the words known
+from all texts, longer by a fixed cost for each character foreign to the language. Words whose decoding is shorter are tried in
+their line: per line and chain the line is compressed as it stands and as restored, and what the chain saves, less its own cost,
+decides; without a saving the line stays as it is.
+
+Bytes can always be read in another single-byte charset, so such a chain must give more than a shorter line: the characters of a
+known word cost nothing extra, however rare; on the page the chain must turn a character foreign to all languages into an ordinary
+one, or a word into one known far better; and it turns no ordinary letter within a word into a sign, and mixes no cases.
+
+U+FFFD and the control characters U+0080 to U+009F are made by wrong decodings only. What stands for them is lost; the chain ``lost``
+describes each as one unknown character, and is judged by length as the others are.
 """
 
 from __future__ import annotations
 
 import codecs
+import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Container, Iterable, Iterator
 from dataclasses import dataclass, field
 from hashlib import blake2b
 
@@ -41,12 +48,15 @@ KNOWN_WORDS = 500_000
 ORDINARY = 0.002
 #: Bytes a foreign character costs beside its marker.
 FOREIGN_COST = 3
+#: Bytes a character costs that no language has.
+NEVER_COST = 10
 #: Cost of a chain's step in bytes: what isn't UTF-8 is hardly ever read as UTF-8 without error, single bytes always can be.
 UTF8_COST, SINGLE_COST = 0.5, 2.5
-#: How much more often than a word without letters the word it would become must be known.
+#: How much more often than a word without letters the word it would become must be known; with letters, this makes it evidence.
 SIGN_FACTOR = 20
-#: Most steps of one chain.
-STEPS = 3
+#: A language code that isn't listed above has a dictionary of its own if at least one page in so many has it.
+OWN_DICTIONARY = 64
+LOST = "lost"
 
 _NEVER = re.compile("[�\x80-\x9f]")
 _DIGITS = re.compile(r"\d+")
@@ -67,33 +77,42 @@ def _charset(name: str) -> dict[str, int]:
 
 _BYTES = {c: _charset(c) for c in READ_AS}
 _SINGLE = {b: c for c, b in _BYTES[WAS_SINGLE].items()}
-#: Characters beyond ASCII that a restored text may have: letters of Western and Central European languages and typographic signs.
+#: Characters beyond ASCII that a restored text may have anywhere: letters of Western and Central European languages and typographic signs.
 _FINE = re.compile(r"[\x00-\x7f\xa0-ſƒˆ˜‐-‧‰-›€№™]*")
 
 
 def _lead(name: str) -> re.Pattern:
-    """Finds what UTF-8 of two or more bytes looks like when read as ``name``."""
+    """Finds what UTF-8 of two, three or four bytes looks like when read as ``name``."""
     chars = defaultdict(str)
     for c, b in _BYTES[name].items():
-        if b >= 0xC2 and b <= 0xF4:
-            chars["lead"] += re.escape(c)
-        elif 0x80 <= b <= 0xBF:
-            chars["tail"] += re.escape(c)
-    return re.compile(f"[{chars['lead']}][{chars['tail']}]")
+        kind = "tail" if 0x80 <= b <= 0xBF else 1 if 0xC2 <= b <= 0xDF else 2 if 0xE0 <= b <= 0xEF else 3 if 0xF0 <= b <= 0xF4 else None
+        chars[kind] += re.escape(c)
+    return re.compile("|".join(f"[{chars[n]}][{chars['tail']}]{{{n}}}" for n in (1, 2, 3)))
 
 
 _LEAD = {c: _lead(c) for c in READ_AS}
 _TO_SINGLE = {c: str.maketrans({ch: _SINGLE[b] for ch, b in _BYTES[c].items() if b >= 0x80 and b in _SINGLE}) for c in READ_AS if c != WAS_SINGLE and c != "latin-1"}
 
 
+def _one_script(word: str) -> bool:
+    """True for at least two letters of one script and nothing else beyond ASCII, without ASCII letters: no chance result of a decoding."""
+    own = [c for c in word if c > "\x7f"]
+    return len(own) > 1 and all(c.isalpha() for c in own) and len({unicodedata.name(c, "?").split(" ")[0] for c in own}) == 1 and not re.search("[A-Za-z]", word)
+
+
 def to_utf8(word: str, read_as: str) -> str | None:
-    """``word`` written as ``read_as`` and read as UTF-8, or None where that can't be or gives foreign characters."""
+    """``word`` written as ``read_as`` and read as UTF-8, or None where that can't be."""
     table = _BYTES[read_as]
     try:
         out = bytes([table[c] for c in word]).decode("utf-8")
     except (KeyError, UnicodeDecodeError):
         return None
-    return out if out != word and _FINE.fullmatch(out) and not _NEVER.search(out) else None
+    return out if out != word else None
+
+
+def plausible(word: str) -> bool:
+    """False for a result with characters that only a wrong decoding, or chance, may have put together."""
+    return bool(_FINE.fullmatch(word) or _one_script(word)) and not _NEVER.search(word)
 
 
 def to_single(word: str, read_as: str) -> str | None:
@@ -112,7 +131,8 @@ class Alphabet:
     """Writes a text with one byte per character: those beyond ASCII that are ordinary in a language have a byte each.
 
     Any other character is foreign: one marker byte, and FOREIGN_COST bytes more in a description. So a description's length follows
-    how usual a character is in the language, not how long its UTF-8 happens to be.
+    how usual a character is in the language, not how long its UTF-8 happens to be. A byte has room for the 127 most usual ones; more
+    than that cost as much as foreign ones here, and still count as ordinary elsewhere.
     """
 
     def __init__(self, ordinary: str):
@@ -132,6 +152,8 @@ class Model:
     dictionaries: dict[str, bytes] = field(default_factory=dict)
     alphabets: dict[str, str] = field(default_factory=dict)
     words: dict[str, int] = field(default_factory=dict)
+    total: int = 0  # of all words beyond ASCII
+    own_codes: tuple[str, ...] = ()
 
     def sizes(self) -> dict[str, Callable[[str], int]]:
         """By language: the bytes a text takes."""
@@ -151,16 +173,16 @@ def suspicious(text: str) -> bool:
     return bool(_NEVER.search(text)) or any(p.search(text) for c, p in _LEAD.items() if c != "mac_roman")
 
 
-def counted(texts: Iterable[tuple[str | None, str | None]]) -> Counter:
+def counted(texts: Iterable[tuple[str | None, str | None]], own: Container[str] = ()) -> Counter:
     """(kind, language, key) -> n over the lines of ``texts`` (text, language) with a character beyond ASCII and no suspicious one.
 
-    Kinds are line, char (lines with the character) and word (of all languages together).
+    Kinds are line, char (lines with the character) and word (of all languages together). ``own``: codes with a dictionary of their own.
     """
     out: Counter = Counter()
     for text, lang in texts:
         if not text or text.isascii():
             continue
-        name = _language(lang)
+        name = _language(lang, own)
         for line in text.split("\n"):
             if not line.isascii() and not suspicious(line):
                 out["line", name, ""] += 1
@@ -169,31 +191,33 @@ def counted(texts: Iterable[tuple[str | None, str | None]]) -> Counter:
     return out
 
 
-def _language(lang: str | None) -> str:
-    return LANGUAGES.get((lang or "").lower(), "other")
+def _language(lang: str | None, own: Container[str] = ()) -> str:
+    code = (lang or "").lower()
+    return LANGUAGES.get(code) or (code if code in own else "other")
 
 
-def train(sample: list[tuple[str, str | None]], size: int = DICTIONARY_BYTES, counts: dict | None = None) -> Model:
+def train(sample: list[tuple[str, str | None]], size: int = DICTIONARY_BYTES, counts: dict | None = None, own_codes: Container[str] = ()) -> Model:
     """Dictionaries of the lines of ``sample`` (text, language) without suspicious characters; words and characters from ``counts`` or the sample.
 
     A language with too few lines for training gets its lines as they are; without any text there is one empty dictionary.
     """
-    counts = counted(sample) if counts is None else counts
+    counts = counted(sample, own_codes) if counts is None else counts
     lines, chars = defaultdict(list), defaultdict(dict)
     for text, lang in sample:
-        name = _language(lang)
+        name = _language(lang, own_codes)
         for line in (text or "").split("\n"):
             if line and (line.isascii() or not suspicious(line)):
                 lines[name].append(line)
     for (kind, name, key), n in counts.items():
         if kind == "char":
             chars[name][key] = n
-    model = Model(words={key: n for (kind, _, key), n in counts.items() if kind == "word" and n > 1})
+    words = {key: n for (kind, _, key), n in counts.items() if kind == "word" and n > 1}
+    model = Model(words=words, total=counts.get(("words", "", ""), sum(words.values())))
     for name, own in lines.items():
         if name == "other" and len(lines) > 1:
             continue
         marked = counts.get(("line", name, ""), 0)
-        usual = [c for c, n in sorted(chars[name].items(), key=lambda x: (-x[1], x[0]))[:64] if n >= max(2, ORDINARY * marked)]
+        usual = [c for c, n in sorted(chars[name].items(), key=lambda x: (-x[1], x[0])) if n >= max(2, ORDINARY * marked)]
         model.alphabets[name] = "".join(dict.fromkeys([*usual, *(x for c in usual for x in (c.upper(), c.lower()) if len(x) == 1 and x > "\x7f")]))
         encode = Alphabet(model.alphabets[name]).encode
         chosen = sorted(own, key=lambda x: (blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), x))
@@ -212,76 +236,139 @@ def _shape(word: str) -> str:
 
 
 def _cost(chain: str) -> float:
-    return sum(UTF8_COST if step.endswith(">utf-8") else SINGLE_COST for step in chain.split(" "))
+    return sum(SINGLE_COST if step.endswith(f">{WAS_SINGLE}") else UTF8_COST for step in chain.split(" "))
+
+
+#: Signs that open or close what they stand at.
+_OPENING, _CLOSING = "\u201e\u00ab\u00bf\u00a1", "\u201d\u00bb"
+
+
+def _odd_sign(word: str, i: int, r: str, ordinary: set[str]) -> bool:
+    """True where the character at ``i`` would become a sign that can't stand there: turned the wrong way, or for an ordinary letter within a word."""
+    if len(word) > 1 and ((r in _OPENING and i == len(word) - 1) or (r in _CLOSING and i == 0)):
+        return True
+    if r in "\u2013\u2014" and word[i].isalpha() and ((i == len(word) - 1 and word[i - 1 : i].isalnum()) or (i == 0 and word[1:2].isalnum())):
+        return True
+    within = 0 < i < len(word) - 1 and word[i - 1].isalnum() and word[i + 1].isalnum()
+    return within and word[i] in ordinary and word[i].isalpha() and not r.isalnum() and r != "\u2019"
+
+
+def _mixes_cases(word: str, r: str) -> bool:
+    """True where a changed character is the only one of its case among the letters after the first."""
+    rest = [(a, b) for a, b in zip(word[1:], r[1:]) if b.isalpha()]
+    kept = [b for a, b in rest if a == b]
+    new = [b for a, b in zip(word, r) if a != b and b.isalpha()]
+    return bool(kept) and (all(b.isupper() for b in kept) and any(b.islower() and b.upper() != b for b in new) or all(b.islower() for b in kept) and any(b.isupper() for a, b in rest if a != b))
 
 
 class Restorer:
     """Applies a model to texts, one at a time."""
 
     def __init__(self, model: Model):
-        self.known, self.by_lang = model.words, model.sizes()
+        self.known, self.total, self.by_lang, self.own_codes = model.words, max(2, model.total), model.sizes(), model.own_codes
+        self.empty = {k: size("") for k, size in self.by_lang.items()}
         self.ordinary = {k: set(model.alphabets.get(k, "")) for k in self.by_lang}
-        self.cache: dict[str, list[tuple[str, str]]] = {}
-
-    def word(self, w: str) -> list[tuple[str, str]]:
-        """(chain, result) of each chain worth a look for this word."""
+        self.anywhere = set().union(*self.ordinary.values())
+        self.cache: dict[str, list[tuple[str, str, dict[str, float]]]] = {}
+
+    def price(self, w: str, lang: str, foreign_cost: float = FOREIGN_COST) -> float:
+        """The bytes that describe a word: compressed, or as a number in the table of known words."""
+        size, n = self.by_lang[lang](w) - self.empty[lang], self._known(w)
+        if not n:
+            return size
+        return min(size, math.log2(self.total / n + 1) / 8 + foreign_cost * sum(c > "\x7f" and c not in self.ordinary[lang] for c in w))
+
+    def word(self, w: str) -> list[tuple[str, str, dict[str, float]]]:
+        """(chain, result, bytes saved by language) of each decoding that some language describes in fewer bytes."""
         found = self.cache.get(w)
         if found is None:
-            if len(self.cache) > 200_000:
+            if len(self.cache) > 200_000:  # bounded memory: a dropped word is only worked out again
                 self.cache.clear()
-            found = self.cache[w] = self._word(w)
+            found, prices = [], {}
+            for chain, r in self._decodings(w):
+                cost = FOREIGN_COST if chain.endswith(">utf-8") else 0
+                now = prices.get(cost) or prices.setdefault(cost, {k: self.price(w, k, cost) for k in self.by_lang})
+                saved = {k: x for k in self.by_lang if (x := now[k] - self.price(r, k)) > 0}
+                if saved:
+                    found.append((chain, r, saved))
+            self.cache[w] = found
         return found
 
-    def _word(self, w: str) -> list[tuple[str, str]]:
-        out, own = [], self._known(w)
-        letters = re.search("[A-Za-z]", w) is not None
+    def _decodings(self, w: str) -> Iterator[tuple[str, str]]:
+        """(chain, result). What can be read as UTF-8 isn't read as single bytes."""
+        utf8 = False
         for c in READ_AS:
-            if _LEAD[c].search(w):
-                chain, now = "", w
-                for _ in range(STEPS):
-                    nxt = next(((f"{d}>utf-8", r) for d in ([c] if not chain else READ_AS) if _LEAD[d].search(now) and (r := to_utf8(now, d))), None)
-                    if nxt is None:
-                        break
-                    chain, now = f"{chain} {nxt[0]}".strip(), nxt[1]
-                    out.append((chain, now))
-            if c in _TO_SINGLE and (r := to_single(w, c)) and (letters or self._known(r) > SIGN_FACTOR * own):
-                out.append((f"{c}>{WAS_SINGLE}", r))
-        return [(chain, r) for chain, r in out if self._known(r) >= own and (own < 3 or self._known(r) > own)]
+            if not _LEAD[c].search(w):
+                continue
+            chain, now = "", w
+            while True:  # each step makes the word shorter
+                steps = [(f"{d}>utf-8", r) for d in ([c] if not chain else READ_AS) if _LEAD[d].search(now) and (r := to_utf8(now, d))]
+                if not steps:
+                    break
+                step, now = next((x for x in steps if plausible(x[1])), steps[0])
+                chain = f"{chain} {step}".strip()
+                if plausible(now):
+                    utf8 = True
+                    yield chain, now
+        if not utf8:
+            letters = re.search("[A-Za-z]", w) is not None
+            for c in _TO_SINGLE:
+                if (r := to_single(w, c)) and (letters or self._known(r) > SIGN_FACTOR * self._known(w)):
+                    yield f"{c}>{WAS_SINGLE}", r
 
     def _known(self, w: str) -> int:
         return self.known.get(_shape(w), 0)
 
-    def applied(self, line: str, chain: str, to: dict[str, str], lang: str) -> str:
-        """``line`` with the words a chain changes. Single bytes can always be read otherwise: what they give must be ordinary in the language."""
-        ordinary = self.ordinary[lang]
-        free = chain.endswith(">utf-8")
-        use = {w: r for w, r in to.items() if free or all(c <= "\x7f" or c in ordinary for c in r)}
-        return _TOKEN.sub(lambda m: use.get(m.group(), m.group()), line)
+    def _single(self, w: str, r: str, lang: str) -> bool | None:
+        """Whether a single-byte reading may be used: None if not, True if it is evidence by itself."""
+        ordinary, strong = self.ordinary[lang], self._known(r) > SIGN_FACTOR * max(1, self._known(w))
+        for i, (a, b) in enumerate(zip(w, r)):
+            if b > "\x7f" and b not in ordinary:
+                return None
+            if a != b:
+                if _odd_sign(w, i, b, ordinary):
+                    return None
+                strong |= a not in self.anywhere
+        return None if _mixes_cases(w, r) else strong
+
+    def usable(self, chain: str, own: dict[int, dict[str, tuple[str, dict[str, float]]]], lang: str) -> dict[int, dict[str, str]]:
+        """By line, the words that ``chain`` changes in this language.
+
+        Words of a single-byte chain that are no evidence by themselves are changed only between lines that have some.
+        """
+        shorter = {i: {w: r for w, (r, saved) in to.items() if lang in saved} for i, to in own.items()}
+        if chain.endswith(">utf-8"):
+            return {i: to for i, to in shorter.items() if to}
+        kind = {i: {w: self._single(w, r, lang) for w, r in to.items()} for i, to in shorter.items()}
+        strong = [i for i, k in kind.items() if any(k.values())]
+        if not strong:
+            return {}
+        return {i: use for i, to in shorter.items() if min(strong) <= i <= max(strong) and (use := {w: r for w, r in to.items() if kind[i][w] is not None})}
 
     def restore(self, text: str | None, lang: str | None = None) -> tuple[bool, str | None, list[str]]:
         """(garbled, restored text, chains used). Null and plain ASCII texts are never garbled."""
         if not text or text.isascii():
             return False, text, []
-        marked = bool(_NEVER.search(text))
         lines = text.split("\n")
-        tries: dict[str, dict[int, dict[str, str]]] = defaultdict(dict)  # by chain and line, the words it changes
+        tries: dict[str, dict[int, dict[str, tuple[str, dict[str, float]]]]] = defaultdict(dict)  # by chain and line, the words it changes
+        lost = [i for i, line in enumerate(lines) if _NEVER.search(line)]
         for i, line in enumerate(lines):
             if line.isascii():
                 continue
             for w in _TOKEN.findall(line):
-                for chain, r in self.word(w):
-                    tries[chain].setdefault(i, {})[w] = r
-        if not tries:
-            return marked, text, []
-        name = LANGUAGES.get((lang or "").lower())
-        at = sorted({i for t in tries.values() for i in t})
+                for chain, r, saved in self.word(w):
+                    tries[chain].setdefault(i, {})[w] = r, saved
+        if not tries and not lost:
+            return False, text, []
+        name = _language(lang, self.own_codes)
+        at = sorted({*lost, *(i for t in tries.values() for i in t)})
         plain = {k: [size(lines[i]) for i in at] for k, size in self.by_lang.items()}
         best = min(plain, key=lambda k: (sum(plain[k]) - (4 if k == name else 0), k))
         size, old = self.by_lang[best], dict(zip(at, plain[best]))
-        made = {chain: {i: self.applied(lines[i], chain, to, best) for i, to in own.items()} for chain, own in tries.items()}
+        made = {chain: {i: _TOKEN.sub(lambda m, to=to: to.get(m.group(), m.group()), lines[i]) for i, to in self.usable(chain, own, best).items()} for chain, own in tries.items()}
         gains = {chain: {i: g for i, new in own.items() if (g := old[i] - size(new)) > _cost(chain)} for chain, own in made.items()}
         used, out, left = [], list(lines), set(old)
-        while left and (chain := max(gains, key=lambda c: (sum(g for i, g in gains[c].items() if i in left), -_cost(c), c))):
+        while gains and left and (chain := max(gains, key=lambda c: (sum(g for i, g in gains[c].items() if i in left), -_cost(c), c))):
             own = {i for i in gains[chain] if i in left}
             if not own:
                 break
@@ -289,37 +376,60 @@ class Restorer:
             for i in own:
                 out[i] = made[chain][i]
             left -= own
-        return marked or bool(used), "\n".join(out), used
+        if any(size(line) + (NEVER_COST - FOREIGN_COST - 1) * n - size(_NEVER.sub("", line)) > _cost(LOST) for line in (out[i] for i in lost) if (n := len(_NEVER.findall(line)))):
+            used.append(LOST)
+        return bool(used), "\n".join(out), used
+
+
+def _name(own: tuple[str, ...]):
+    """The language of a row as ``_language`` gives it, as a column."""
+    known = {**{c: c for c in own}, **LANGUAGES}
+    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.coalesce(names[F.lower("lang")], F.lit("other"))
 
 
-def corpus_counts(documents: DataFrame, known: int = KNOWN_WORDS) -> dict[tuple[str, str, str], int]:
+def own_codes(documents: DataFrame) -> tuple[str, ...]:
+    """Language codes beside the listed ones that at least one page in OWN_DICTIONARY has, so at most as many."""
+    counts = documents.select(F.lower("lang").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    many = counts.where(F.col("n") * OWN_DICTIONARY >= counts.agg(F.sum("n")).scalar()).where(F.col("code").isNotNull() & ~F.col("code").isin(*LANGUAGES))
+    return tuple(sorted(r["code"] for r in many.collect()))
+
+
+def corpus_counts(documents: DataFrame, known: int = KNOWN_WORDS, own: tuple[str, ...] = ()) -> dict[tuple[str, str, str], int]:
     """``counted`` over all documents; of the words those that stand at least twice and at least once in ``known``, so fewer than ``known``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = counted(zip(b.column("text").to_pylist(), b.column("lang").to_pylist()))
-            if own:
-                kind, lang, key = zip(*own)
-                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(lang), pa.array(key), pa.array([*own.values()], pa.int64())], names=["kind", "name", "key", "n"])
+            found = counted(zip(b.column("text").to_pylist(), b.column("lang").to_pylist()), own)
+            if found:
+                kind, lang, key = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(lang), pa.array(key), pa.array([*found.values()], pa.int64())], names=["kind", "name", "key", "n"])
 
     each = documents.select("text", "lang").mapInArrow(run, "kind string, name string, key string, n bigint")
     counts = checkpointed(each.groupBy("kind", "name", "key").agg(F.sum("n").alias("n")))
     words = counts.where("kind = 'word'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     kept = counts.where((F.col("kind") != "word") | ((F.col("n") > 1) & (F.col("n") * F.lit(known) >= words)))
-    return {(r["kind"], r["name"], r["key"]): r["n"] for r in kept.collect()}
+    return {("words", "", ""): words, **{(r["kind"], r["name"], r["key"]): r["n"] for r in kept.collect()}}
 
 
-def sample_pages(documents: DataFrame, pages: int = SAMPLE_PAGES) -> list[tuple[str, str | None]]:
+def sample_pages(documents: DataFrame, pages: int = SAMPLE_PAGES, own: tuple[str, ...] = ()) -> list[tuple[str, str | None]]:
     """About ``pages`` pages by the hash of their id and text, rows delivered again once, and a quarter of that of each language as far as it has them."""
-    names = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    own = documents.where("text is not null").select("doc_id", "text", "lang", F.coalesce(names[F.lower("lang")], F.lit("other")).alias("name"))
-    n = {r["name"]: r["n"] for r in own.groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
+    rows = documents.where("text is not null").select("doc_id", "text", "lang", _name(own).alias("name"))
+    n = {r["name"]: r["n"] for r in rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language with a dictionary
     if not n:
         return []
     share = F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(max(pages / sum(n.values()), pages / 4 / v if k != "other" else 0.0)))])
     u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    rows = own.where(u < share[F.col("name")]).select("doc_id", "text", "lang").distinct()
-    return [(r["text"], r["lang"]) for r in rows.collect()]
+    chosen = rows.where(u < share[F.col("name")]).select("doc_id", "text", "lang").distinct()
+    return [(r["text"], r["lang"]) for r in chosen.collect()]
+
+
+def model_of(documents: DataFrame) -> Model:
+    """Words and characters of all documents, dictionaries of a sample; bounded by SAMPLE_PAGES, DICTIONARY_BYTES, KNOWN_WORDS, OWN_DICTIONARY."""
+    own = own_codes(documents)
+    model = train(sample_pages(documents, own=own), counts=corpus_counts(documents, own=own), own_codes=own)
+    model.own_codes = own
+    return model
 
 
 def restored(documents: DataFrame, model: Model | None = None) -> DataFrame:
@@ -329,7 +439,7 @@ def restored(documents: DataFrame, model: Model | None = None) -> DataFrame:
     each have their result.
     """
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(model or train(sample_pages(documents), counts=corpus_counts(documents)))  # bounded by SAMPLE_PAGES, DICTIONARY_BYTES, KNOWN_WORDS
+    shared = spark.sparkContext.broadcast(model or model_of(documents))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(shared.value)

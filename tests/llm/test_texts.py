@@ -118,6 +118,54 @@ def test_single_bytes_twice_and_clean(model):
     assert r.restore(None)[0] is False and r.restore("") == (False, "", []) and r.restore("plain")[0] is False
 
 
+@pytest.fixture(scope="module")
+def small():
+    """A model of few pages: most words are unknown to it."""
+    return garbled.train([("\n".join(s), lang) for lang, s in SENTENCES.items() for _ in range(3)], 4000)
+
+
+def test_correct_rare_words_stay_with_a_small_sample(small):
+    r = garbled.Restorer(small)
+    rare = "Bäckerei Gärtner reqión ex~licó l1evó an0tó fuución, maíz río volía ÎLE ZOË FÊTE CAFÉ Händlcr. Ge1äut. Gcläut. Señorío N.½ Señal où tù São"
+    for w in rare.split():
+        for lang, own in SENTENCES.items():
+            text = f"{own[0]}\nDie neue {w} ist da und {w.lower()}\n{own[1]}"
+            hit, out, chains = r.restore(text, lang)
+            assert not hit and out == text, (w, lang, chains, out)
+
+
+def test_longer_chains_and_other_scripts(model):
+    r = garbled.Restorer(model)
+    s = SENTENCES["fr"][0]
+    four = s
+    for _ in range(4):
+        four = four.encode().decode("latin-1")
+    assert r.restore(four, "fr")[:2] == (True, s)
+    for word in ("правда", "Ελλάδα"):
+        wrong = "".join({b: c for c, b in garbled._charset("cp1252").items()}[b] for b in word.encode())
+        hit, text, _ = r.restore(f"{SENTENCES['en'][2]}\nthe word {wrong} was read", "en")
+        assert hit and text.endswith(f"the word {word} was read")
+
+
+def test_lost_characters_are_judged_by_length(small):
+    r = garbled.Restorer(small)
+    for own in SENTENCES.values():
+        for s in own:
+            for k in range(0, len(s), 7):
+                for c in "\ufffd\x81\x9d":
+                    assert r.restore(s[:k] + c + s[k:])[2][-1] == garbled.LOST
+
+
+def test_a_further_language_has_its_own_dictionary(spark):
+    rows = [(i, "Zażółć gęślą jaźń\nmały kot śpi na łóżku", "pl") for i in range(40)] + [(100 + i, SENTENCES["en"][i % 3], "en") for i in range(60)] + [(300, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = garbled.model_of(df)
+    assert model.own_codes == ("pl",) and "ł" in model.alphabets["pl"]
+    assert garbled.Restorer(model).restore("Zażółć gęślą jaźń", "pl")[0] is False
+    wrong = "".join({b: c for c, b in garbled._charset("cp1252").items()}[b] for b in "mały kot śpi".encode())
+    assert garbled.Restorer(model).restore(wrong, "pl")[:2] == (True, "mały kot śpi")
+
+
 def test_restored_frame(spark, model):
     s = SENTENCES["de"][0]
     rows = [(1, s.encode().decode("cp1252", "ignore"), "de"), (2, s, None), (3, None, None), (4, "", "xx"), (1, s, "de")]
@@ -135,7 +183,7 @@ def test_letters_of_a_rare_language_are_known(spark, monkeypatch):
     wrong = f"{SENTENCES['es'][2]}\n{s.encode('cp1252').decode('mac_roman')}\n{SENTENCES['es'][1]}"
     df = spark.createDataFrame([*rows, (500, wrong, "es")], "doc_id bigint, text string, lang string")
     real = garbled.sample_pages
-    monkeypatch.setattr(garbled, "sample_pages", lambda d: real(d, 16))
+    monkeypatch.setattr(garbled, "sample_pages", lambda d, **how: real(d, 16, **how))
     got = {r.doc_id: r.restored for r in garbled.restored(df).where("garbled").collect()}
     assert set(got) == {500} and got[500].split("\n")[1] == s
 
