@@ -68,13 +68,33 @@ def test_leaks_by_shard_and_empty(spark):
     assert leakage.leaks(docs.limit(0), items).count() == 0 and leakage.leaks(docs, items.limit(0)).count() == 0
 
 
+def full_scores(page_words, ix):
+    """Every item scored, without pruning."""
+    score = [0.0] * len(ix.ids)
+    for t in ix.terms(page_words):
+        for k in range(ix.at[t], ix.at[t + 1]):
+            score[ix.post[k]] += ix.impact[k]
+    return score
+
+
 def test_pruning_loses_nothing():
-    ix = leakage.build_index([(i, item(i)) for i in range(60)])
-    for i in range(60):
-        p = leakage.words(page(i) + " " + " ".join(item(i).split()[5:33]))
-        q = [t for t in {*map(ix.terms.get, leakage.pairs(p))} if t is not None]
-        every = {j for j in range(60) if ix.impacts[q, j].sum() >= ix.need[j]}
-        assert every == {*leakage.candidates(p, ix)} and i in every
+    texts = [item(i) for i in range(60)]
+    texts += [" ".join(texts[i].split()[:20] + texts[i + 1].split()[10:35]) for i in range(0, 58, 2)]  # items made of parts of others
+    ix = leakage.build_index(list(enumerate(texts)))
+    for i in range(len(texts)):
+        p = leakage.words(page(i) + " " + " ".join(texts[i].split()[5:33]) + " " + page(i + 1) + " " + texts[(7 * i) % 60])
+        every = [j for j, s in enumerate(full_scores(p, ix)) if s >= ix.need[j] - 1e-9]
+        assert every == leakage.candidates(p, ix) and i in every
+
+
+def test_index_is_linear_in_its_items():
+    def weight(ix):
+        arrays = (ix.need, ix.block_need, ix.keys, ix.at, ix.post, ix.impact, ix.peak, ix.block_at, ix.blocks, ix.block_peak)
+        return sum(a.nbytes for a in arrays)
+
+    small, large = leakage.build_index([(i, item(i)) for i in range(1000)]), leakage.build_index([(i, item(i)) for i in range(10_000)])
+    assert weight(large) < 11 * weight(small) and weight(large) < 40_000_000
+    assert leakage.candidates(leakage.words(page(1) + " " + item(9321)), large) == [9321]
 
 
 SENTENCES = {
