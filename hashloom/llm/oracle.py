@@ -35,6 +35,12 @@ ORACLE = {
     "p1_found": f"WITH {_SETS} SELECT id_a, id_b FROM p",
     "p1_classes": f"""WITH {_SETS}, l AS (SELECT id, count(*) AS links FROM (SELECT id_a AS id FROM p UNION ALL SELECT id_b FROM p) GROUP BY id)
         SELECT s.id, min(s.id) OVER (PARTITION BY s.s) AS class_id, coalesce(l.links, 0) AS links FROM s LEFT JOIN l ON s.id = l.id""",
+    "p1_between": """WITH s AS (SELECT DISTINCT id, w, s FROM (SELECT id, load_no = (SELECT max(load_no) FROM long_vectors) AS w, list_sort(list_distinct(list_filter(
+        CASE WHEN start_idx IS NULL AND end_idx IS NULL THEN col_ids ELSE col_ids[coalesce(start_idx, 0) + 1 : coalesce(end_idx, len(col_ids))] END,
+        lambda x: x IS NOT NULL))) AS s FROM long_vectors WHERE id IS NOT NULL AND load_no IS NOT NULL) WHERE len(s) > 0),
+        f AS (SELECT id, w, len(s) AS n, unnest(s) AS c FROM s)
+        SELECT a.id AS id_a, b.id AS id_b FROM f a JOIN f b ON a.c = b.c AND a.w AND NOT b.w AND b.n >= 0.75 * a.n AND a.n >= 0.75 * b.n
+        GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.75 * (a.n + b.n - count(*))""",
     "p2_found": f"""WITH {_NAMES} SELECT name FROM (SELECT name, sum(cnt) AS c FROM n WHERE name IS NOT NULL AND cnt > 0 GROUP BY name)
         WHERE c >= 0.005 * (SELECT sum(cnt) FROM n WHERE name IS NOT NULL AND cnt > 0)""",
     "p4_found": f"""WITH {_BLOCKS} SELECT row_id, CAST(col_id AS BIGINT) AS col_id FROM (

@@ -12,7 +12,7 @@ from hashloom.llm.mixing import mix, sized_documents
 from hashloom.llm.oracle import ORACLE
 from hashloom.llm.pair_table import PairTable
 from hashloom.llm.residuals import term_scores
-from hashloom.llm.similar_sets import set_classes, similar_classes, similar_pairs
+from hashloom.llm.similar_sets import set_classes, similar_between, similar_classes, similar_pairs
 from hashloom.llm.stable_sample import running_weights, stable_sample
 from hashloom.llm.term_stats import marked, term_frequencies
 from hashloom.plans.tables import clean_name, dictionary_once, matrix_records, record_count, table, vector_sets
@@ -43,6 +43,13 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     return members.join(per_class, "rep").select("id", F.col("rep").alias("class_id"), "links")
 
 
+def p1_between(spark: SparkSession, d: str) -> DataFrame:
+    """(id_a, id_b): a record as the newest load delivered it and one as an earlier load did, with similarity >= 0.75."""
+    rows = table(spark, d, "long_vectors")
+    sets = vector_sets(rows).withColumn("newest", F.col("load_no") == rows.agg(F.max("load_no")).scalar())
+    return similar_between(sets.where("newest"), sets.where("not newest"), "id", "set", 0.75).select("id_a", "id_b")
+
+
 def _named_counts(spark: SparkSession, d: str, name: str) -> DataFrame:
     rows = dictionary_once(table(spark, d, name))
     return rows.select(F.explode("names_and_counts").alias("x")).select(clean_name(F.col("x.name")).alias("name"), F.col("x.cnt").alias("cnt"))
@@ -164,7 +171,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_classes, p2_found, p2_totals, p4_found, p4_residuals, p5_found, p5_scores, p5_pairs, p6_found, p6_frequencies,
+        p1_found, p1_classes, p1_between, p2_found, p2_totals, p4_found, p4_residuals, p5_found, p5_scores, p5_pairs, p6_found, p6_frequencies,
         p7_sample, p7_weighted, p8_found, p9_mix, p9_report, p10_found, p10_restored,
     )
 }
