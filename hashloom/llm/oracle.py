@@ -53,6 +53,21 @@ ORACLE = {
     "p5_found": f"WITH {_BLOCKS}, {_PAIRS} SELECT col_a, col_b FROM sc WHERE n >= 5 AND n >= 0.002 * n_records AND n * n_records >= 4 * n_a * n_b",
     "p5_scores": f"""WITH {_BLOCKS}, {_PAIRS} SELECT col_a, col_b, n, round(n * CAST(n_records AS DOUBLE) / (n_a * CAST(n_b AS DOUBLE)), 6) AS lift,
         round(ln(n * CAST(n_records AS DOUBLE) / (n_a * CAST(n_b AS DOUBLE))) / -ln(n / CAST(n_records AS DOUBLE)), 6) AS npmi FROM sc WHERE n >= 5""",
+    "p5_pairs": f"""WITH {_BLOCKS}, {_PAIRS} SELECT col_a, col_b, n, round(n * CAST(n_records AS DOUBLE) / (n_a * CAST(n_b AS DOUBLE)), 6) AS lift,
+        round(CASE WHEN n >= n_records THEN 1.0 ELSE ln(n * CAST(n_records AS DOUBLE) / (n_a * CAST(n_b AS DOUBLE))) / -ln(n / CAST(n_records AS DOUBLE)) END, 6) AS npmi FROM sc""",
+    "p5_after_changes": f"""WITH {_BLOCKS},
+        fw AS (SELECT block_id, min(written_at) AS w FROM matrix_blocks WHERE block_id IS NOT NULL GROUP BY 1),
+        cut AS (SELECT w AS c FROM (SELECT w, row_number() OVER (ORDER BY w) AS k, count(w) OVER () AS m FROM fw WHERE w IS NOT NULL) WHERE k = greatest(1, ceil(m * 0.5))),
+        rr AS (SELECT row_id, cols, coalesce(w > c, false) AS late FROM (SELECT block_id, first_row_id + i AS row_id, col_ids[row_start_idx[i + 1] + 1 : row_start_idx[i + 2]] AS cols
+               FROM (SELECT *, unnest(range(n_rows)) AS i FROM b)) JOIN fw USING (block_id), cut),
+        v AS (SELECT 0 AS v, row_id, CASE WHEN late THEN cols[1 : CAST(ceil(len(cols) / 2.0) AS BIGINT)] ELSE cols END AS cols FROM rr
+              UNION ALL SELECT 1, row_id, cols FROM rr WHERE row_id NOT IN (SELECT row_id FROM probe_rows)),
+        vt AS (SELECT DISTINCT v, row_id, unnest(cols) AS col_id FROM v),
+        vd AS (SELECT col_id, count(*) FILTER (v = 0) AS d0, count(*) FILTER (v = 1) AS d1 FROM vt GROUP BY 1),
+        vp AS (SELECT x.col_id AS p, y.col_id AS q, count(*) FILTER (x.v = 0) AS n0, count(*) FILTER (x.v = 1) AS n1
+               FROM vt x JOIN vt y ON x.v = y.v AND x.row_id = y.row_id AND x.col_id < y.col_id GROUP BY 1, 2)
+        SELECT CAST(p AS BIGINT) AS col_a, CAST(q AS BIGINT) AS col_b, n1 AS n, round(n1 * CAST((SELECT count(*) FROM v WHERE v = 1) AS DOUBLE) / (e.d1 * CAST(g.d1 AS DOUBLE)), 6) AS lift
+        FROM vp JOIN vd e ON p = e.col_id JOIN vd g ON q = g.col_id WHERE n1 > 0 AND (n0 <> n1 OR e.d0 <> e.d1 OR g.d0 <> g.d1)""",
     "p6_found": f"WITH {_FREQ} SELECT field, item, mark FROM fr WHERE mark IS NOT NULL",
     "p6_frequencies": f"WITH {_FREQ} SELECT field, item, total, records, mark FROM fr",
     "p7_sample": f"SELECT id, min(load_no) AS first_load FROM long_vectors WHERE id IS NOT NULL AND {_UNIT} < 0.1 GROUP BY id",

@@ -17,6 +17,14 @@ from hashloom.session import checkpointed
 
 _PAIRS = "a bigint, b bigint, n bigint"
 _ITEMS = "item bigint, n bigint"
+_MANIFEST = "step int, buckets int, at map<int,string>, items_at string, baskets bigint, n_pairs bigint, loads array<string>"
+#: Pairs a bucket is meant to hold, and how many times as many it may before the table is written in more buckets.
+BUCKET_ROWS, GROWN = 1_000_000, 4
+
+
+def buckets_for(rows: int) -> int:
+    """At least 16, else the power of two that gives a bucket at most BUCKET_ROWS."""
+    return 1 << max(4, (max(1, rows) // BUCKET_ROWS).bit_length())
 
 
 def basket_items(baskets: DataFrame, items: str) -> DataFrame:
@@ -51,83 +59,104 @@ def basket_changes(before: DataFrame, after: DataFrame, basket: str, items: str)
 
 
 class PairTable:
-    """Pair counts, item counts and the number of baskets below ``path`` (a folder that all executors share)."""
+    """Pair counts, item counts and the number of baskets below ``path`` (a folder that all executors share).
+
+    The number of buckets is a power of two that follows the number of pairs: about ``BUCKET_ROWS`` to a bucket, and all are written
+    anew in more buckets when they hold ``GROWN`` times as many. A bucket is one sorted file. Each load writes a folder of its own
+    and then one manifest row that makes it count, so a load that fails leaves the table as it was.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-        self.versions: dict[int, str] = {}  # bucket -> version; at most ``buckets`` entries
+        self.at: dict[int, str] = {}  # bucket -> folder; at most ``buckets`` entries
         self.items_at: str | None = None
-        self.baskets = 0
+        self.baskets = self.rows = self._step = 0
+        self.loads: list[str] = []
         self._touched_items: DataFrame | None = None
         self._touched_pairs: DataFrame | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> PairTable:
-        """The table as its newest manifest describes it."""
-        m = spark.read.parquet(f"{path}/manifest").orderBy(F.desc("step")).first()
+        """The table as its newest manifest row describes it."""
+        m = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").orderBy(F.desc("step")).first()
         t = cls(spark, path, m["buckets"])
-        t.versions, t.items_at, t.baskets = dict(m["versions"]), m["items_at"], m["baskets"]
-        t._step = m["step"]
+        t.at, t.items_at, t.baskets, t.rows, t._step, t.loads = dict(m["at"]), m["items_at"], m["baskets"], m["n_pairs"], m["step"], list(m["loads"])
         return t
 
-    _step = 0
-
     def _bucket(self):
         return F.pmod(F.xxhash64("a", "b"), F.lit(self.buckets)).cast("int")
 
+    def _write(self, pairs: DataFrame, folder: str) -> DataFrame:
+        """``pairs`` by bucket, one sorted file each, read again as (bucket, n_pairs)."""
+        pairs.withColumn("bucket", self._bucket()).repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "a", "b").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        return self.spark.read.schema(f"{_PAIRS}, bucket int").parquet(f"{self.path}/{folder}")
+
     def pairs(self, only: list[int] | None = None) -> DataFrame:
         """(a, b, n) of all buckets, or of some."""
-        paths = [f"{self.path}/{v}/pairs/bucket={b}" for b, v in sorted(self.versions.items()) if only is None or b in only]
+        paths = [f"{self.path}/{v}/bucket={b}" for b, v in sorted(self.at.items()) if only is None or b in only]
         return self.spark.read.schema(_PAIRS).parquet(*paths) if paths else self.spark.createDataFrame([], _PAIRS)
 
     def items(self) -> DataFrame:
         """(item, n): baskets with the item."""
         return self.spark.read.schema(_ITEMS).parquet(self.items_at) if self.items_at else self.spark.createDataFrame([], _ITEMS)
 
-    def apply(self, changes: DataFrame, items: str = "items") -> PairTable:
+    def apply(self, changes: DataFrame, items: str = "items", load_id: str | None = None) -> PairTable:
         """Merge signed baskets: ``changes`` has the column ``items`` and ``sign`` (+1 or -1).
 
-        Empty baskets count as baskets and give no pairs. No changes leave the table as it is. Counts that fall to 0 are removed.
+        Empty baskets count as baskets and give no pairs. No changes leave the table as it is. Counts that fall to 0 are removed. A
+        load whose ``load_id`` was applied before changes nothing. The counts of a first load are its deltas; there is nothing to merge.
+        The item table, one row per item, is written whole.
         """
+        if load_id is not None and load_id in self.loads:
+            return self
         version = f"v{uuid.uuid4().hex[:12]}"
         signed = basket_items(changes, items)
         new_baskets = signed.agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("n")).first()["n"]
-        delta = f"{self.path}/{version}/delta"
-        pair_deltas(signed).withColumn("bucket", self._bucket()).repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(delta)
-        changed = self.spark.read.schema(f"{_PAIRS}, bucket int").parquet(delta)
-        hit = sorted(r["bucket"] for r in changed.select("bucket").distinct().collect())  # at most ``buckets`` numbers
-        first = bool(hit) and not self.versions
-        if hit:
-            if first:
-                self._move_first(version, hit)
-            else:
-                merged = changed.select("a", "b", "n").unionByName(self.pairs(hit))
-                out = merged.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n <> 0").withColumn("bucket", self._bucket())
-                out.repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{version}/pairs")
-                kept = {r["bucket"] for r in self.spark.read.schema(f"{_PAIRS}, bucket int").parquet(f"{self.path}/{version}/pairs").select("bucket").distinct().collect()}
-                for b in hit:
-                    if b in kept:
-                        self.versions[b] = version
-                    else:
-                        self.versions.pop(b, None)
+        delta = pair_deltas(signed)
+        if self.buckets is None:
+            delta = checkpointed(delta)
+            self.buckets = buckets_for(delta.count())
+        changed = self._write(delta, f"{version}/delta")
+        hit = {r["bucket"]: r["n"] for r in changed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``buckets`` numbers
+        first = not self.at
+        if hit and first:
+            self.at, self.rows = dict.fromkeys(hit, f"{version}/delta"), sum(hit.values())
+        elif hit:
+            grow = self.rows + sum(hit.values()) > GROWN * BUCKET_ROWS * self.buckets
+            old = self.pairs(None if grow else list(hit))
+            if grow:
+                self.buckets, self.at, self.rows = buckets_for(self.rows + sum(hit.values())), {}, 0
+            merged = changed.select("a", "b", "n").unionByName(old)
+            out = self._write(merged.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n <> 0"), f"{version}/pairs")
+            kept = {r["bucket"] for r in out.select("bucket").distinct().collect()}
+            for b in hit:
+                self.at.pop(b, None)
+            self.at |= dict.fromkeys(kept, f"{version}/pairs")
+            self.rows = max(self.rows, 0) + sum(hit.values())  # an upper bound, as a pair that was known counts twice
         item_delta = checkpointed(item_deltas(signed))
         at = f"{self.path}/{version}/items"
         item_delta.unionByName(self.items()).groupBy("item").agg(F.sum("n").alias("n")).where("n <> 0").write.parquet(at)
         self.items_at, self.baskets = at, self.baskets + new_baskets
-        self._touched_items, self._touched_pairs = item_delta, self.pairs() if first else changed
+        self._touched_items, self._touched_pairs = item_delta, changed
         self._step += 1
-        row = [(self._step, self.buckets, self.versions, self.items_at, self.baskets)]
-        self.spark.createDataFrame(row, "step int, buckets int, versions map<int,string>, items_at string, baskets bigint").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        self.loads += [load_id] if load_id is not None else []
+        row = [(self._step, self.buckets, self.at, self.items_at, self.baskets, self.rows, self.loads)]
+        self.spark.createDataFrame(row, _MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
         return self
 
-    def _move_first(self, version: str, hit: list[int]) -> None:
-        """A first load has nothing to merge with: its deltas are the counts. Only the folder's name changes."""
+    def clean(self) -> list[str]:
+        """Deletes the folders of loads that no bucket and no item table needs any more; returns their names.
+
+        For a single user of the table: others who opened an earlier state, and frames read from it, lose their files.
+        """
         jvm = self.spark.sparkContext._jvm
-        src = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{version}/delta")
-        fs = src.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{version}"))
-        fs.rename(src, jvm.org.apache.hadoop.fs.Path(f"{self.path}/{version}/pairs"))
-        self.versions |= {b: version for b in hit}
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        used = {v.split("/")[0] for v in self.at.values()} | {str(self.items_at).split("/")[-2]}
+        gone = [n for n in (x.getPath().getName() for x in fs.listStatus(root)) if n.startswith("v") and n not in used]
+        for n in gone:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(root, n), True)
+        return gone
 
     def scores(self, least: int = 1, share: float = 0.0, pairs: DataFrame | None = None) -> DataFrame:
         """(a, b, n, n_a, n_b, baskets, lift, pmi, npmi) of pairs in at least ``least`` baskets and a ``share`` of all baskets.

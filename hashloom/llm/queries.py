@@ -10,7 +10,7 @@ from hashloom.llm.heavy_hitters import frequent, heavy_hitters
 from hashloom.llm.leakage import leaks
 from hashloom.llm.mixing import mix, sized_documents
 from hashloom.llm.oracle import ORACLE
-from hashloom.llm.pair_table import PairTable
+from hashloom.llm.pair_table import PairTable, basket_changes
 from hashloom.llm.residuals import term_scores
 from hashloom.llm.similar_sets import set_classes, similar_between, similar_classes, similar_pairs
 from hashloom.llm.stable_sample import running_weights, stable_sample
@@ -82,10 +82,37 @@ def p4_residuals(spark: SparkSession, d: str) -> DataFrame:
     return scores.select("row_id", F.col("term").alias("col_id"), "tf", "df", F.round("residual", 6).alias("residual"), F.round("adjusted", 6).alias("adjusted"))
 
 
+def _late_blocks(blocks: DataFrame) -> DataFrame:
+    """(block_id) of the blocks first written in the later half of the time."""
+    first = blocks.where("block_id is not null").groupBy("block_id").agg(F.min("written_at").alias("at"))
+    return first.where(F.col("at") > first.agg(F.percentile_approx("at", 0.5)).scalar()).select("block_id")
+
+
 def _pair_table(spark: SparkSession, d: str) -> PairTable:
-    records = matrix_records(table(spark, d, "matrix_blocks"))
-    signed = records.select(F.col("cols").alias("items"), F.lit(1).cast("bigint").alias("sign"))
-    return PairTable(spark, scratch_path(spark, "pairs")).apply(signed)
+    """The table after two loads: the blocks written in the earlier half of the time, then the later ones, merged into the stored counts."""
+    blocks = table(spark, d, "matrix_blocks")
+    late, pairs = _late_blocks(blocks), PairTable(spark, scratch_path(spark, "pairs"))
+    for load, how in (("early", "left_anti"), ("late", "left_semi")):
+        pairs.apply(matrix_records(blocks.join(late, "block_id", how)).select(F.col("cols").alias("items"), F.lit(1).cast("bigint").alias("sign")), load_id=load)
+    return pairs
+
+
+def p5_after_changes(spark: SparkSession, d: str) -> DataFrame:
+    """(col_a, col_b, n, lift): pairs whose score a second load of changes recomputed.
+
+    First all records are loaded, those of late blocks with the first half of their entries. Then these are completed, and the
+    probed records vanish: only what changed goes in, as signed deltas.
+    """
+    blocks = table(spark, d, "matrix_blocks")
+    late = _late_blocks(blocks)
+    whole = matrix_records(blocks.join(late, "block_id", "left_anti")).unionByName(matrix_records(blocks.join(late, "block_id", "left_semi")))
+    half = F.slice("cols", 1, F.ceil(F.size("cols") / 2).cast("int"))
+    before = matrix_records(blocks.join(late, "block_id", "left_anti")).unionByName(matrix_records(blocks.join(late, "block_id", "left_semi")).select("row_id", half.alias("cols")))
+    after = whole.join(table(spark, d, "probe_rows").select("row_id").distinct(), "row_id", "left_anti")
+    pairs = PairTable(spark, scratch_path(spark, "pairs"))
+    pairs.apply(before.select(F.col("cols").alias("items"), F.lit(1).cast("bigint").alias("sign")), load_id="before")
+    pairs.apply(basket_changes(before, after, "row_id", "cols"), "cols", load_id="changes")
+    return pairs.affected_scores().select(F.col("a").alias("col_a"), F.col("b").alias("col_b"), "n", F.round("lift", 6).alias("lift"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -171,7 +198,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_classes, p1_between, p2_found, p2_totals, p4_found, p4_residuals, p5_found, p5_scores, p5_pairs, p6_found, p6_frequencies,
+        p1_found, p1_classes, p1_between, p2_found, p2_totals, p4_found, p4_residuals, p5_found, p5_scores, p5_pairs, p5_after_changes, p6_found, p6_frequencies,
         p7_sample, p7_weighted, p8_found, p9_mix, p9_report, p10_found, p10_restored,
     )
 }

@@ -5,6 +5,7 @@ from datetime import datetime
 import numpy as np
 from pyspark.sql import functions as F
 
+from hashloom.llm import pair_table
 from hashloom.llm.heavy_hitters import ConservativeSketch, frequent, heavy_hitters
 from hashloom.llm.pair_table import PairTable, basket_changes
 from hashloom.llm.queries import QUERIES
@@ -89,10 +90,29 @@ def test_incremental_pairs_equal_recount(spark, tmp_path):
     assert moved <= hit
     t.apply(frame(spark, {}).select("items", F.lit(1).cast("bigint").alias("sign")))
     assert {(r.a, r.b): r.n for r in t.pairs().collect()} == pair_counts(after)
+    more = frame(spark, {5000: [1, 2, 2]}).select("items", F.lit(1).cast("bigint").alias("sign"))
+    assert t.apply(more, load_id="x").baskets == len(after) + 1
+    assert t.apply(more, load_id="x").baskets == PairTable.open(spark, t.path).apply(more, load_id="x").baskets == len(after) + 1
+    t.apply(more.withColumn("sign", -F.col("sign")), load_id="y")
+    assert t.clean() and t.clean() == [] and {(r.a, r.b): r.n for r in PairTable.open(spark, t.path).pairs().collect()} == pair_counts(after)
     t.apply(frame(spark, after).select("items", F.lit(-1).cast("bigint").alias("sign")))
     assert t.pairs().count() == 0 and t.items().count() == 0 and t.baskets == 0
 
 
+def test_buckets_follow_the_pairs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pair_table, "BUCKET_ROWS", 20)
+    rng = random.Random(9)
+    one, two = ({k: [rng.randrange(200) for _ in range(8)] for k in range(n)} for n in (20, 300))
+    t = PairTable(spark, str(tmp_path / "p"))
+    sizes = []
+    for part in (one, two):
+        t.apply(frame(spark, part).select("items", F.lit(1).cast("bigint").alias("sign")))
+        sizes.append(t.buckets)
+    assert sizes[1] > 4 * sizes[0] >= 64
+    both = pair_counts({**{(1, k): v for k, v in one.items()}, **{(2, k): v for k, v in two.items()}})
+    assert {(r.a, r.b): r.n for r in PairTable.open(spark, t.path).pairs().collect()} == both
+
+
 def blocks_of(spark, path, records, per=50):
     """matrix_blocks with the given records (row id -> columns), numbered from 0."""
     rows = []
