@@ -13,7 +13,7 @@ from hashloom.llm.oracle import ORACLE
 from hashloom.llm.pair_table import PairTable, basket_changes
 from hashloom.llm.residuals import term_scores
 from hashloom.llm.similar_sets import set_classes, similar_between, similar_classes, similar_pairs
-from hashloom.llm.stable_sample import running_weights, stable_sample
+from hashloom.llm.stable_sample import SampleStore
 from hashloom.llm.term_stats import marked, term_frequencies
 from hashloom.plans.tables import clean_name, dictionary_once, matrix_records, record_count, table, vector_sets
 from hashloom.session import checkpointed, scratch_path
@@ -156,18 +156,25 @@ def p6_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return _frequencies(spark, d)
 
 
+def _two_loads(spark: SparkSession, rows: DataFrame, weight: str | None = None) -> SampleStore:
+    """A store that got the earlier half of the loads, was opened again and got the later half. Rows without a load number come first."""
+    path, cut = scratch_path(spark, "sample"), rows.agg(F.percentile_approx("load_no", 0.5)).scalar()
+    late = F.coalesce(F.col("load_no") > cut, F.lit(False))
+    SampleStore(spark, path).add(rows.where(~late), "id", weight)
+    return SampleStore(spark, path).add(rows.where(late), "id", weight)
+
+
 def p7_sample(spark: SparkSession, d: str) -> DataFrame:
     """(id, first_load): a tenth of the ids of long_vectors, and the load that brought the id first."""
     rows = table(spark, d, "long_vectors")
-    chosen = stable_sample(running_weights(rows, "id"), 0.1)
     first = rows.where("id is not null").groupBy("id").agg(F.min("load_no").alias("first_load"))
-    return chosen.select("id").join(first, "id")
+    return _two_loads(spark, rows.select("id", "load_no")).sample(0.1).select("id").join(first, "id")
 
 
 def p7_weighted(spark: SparkSession, d: str) -> DataFrame:
     """(id, weight): ids drawn with a probability of 0.005 per distinct value of the largest set delivered for them."""
-    sets = vector_sets(table(spark, d, "long_vectors")).select("id", F.size("set").alias("size"))
-    return stable_sample(running_weights(sets, "id", "size"), 0.005).select("id", F.col("weight").cast("bigint").alias("weight"))
+    sets = vector_sets(table(spark, d, "long_vectors")).select("id", "load_no", F.size("set").alias("size"))
+    return _two_loads(spark, sets, "size").sample(0.005).select("id", F.col("weight").cast("bigint").alias("weight"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_STORED = "id {}, weight double"
+
 
 def unit_hash(identifier: Column, salt: str = "") -> Column:
     """u in [0, 1): the first 52 bits of the md5 of ``salt`` and the identifier's text, so that any other system can repeat it."""
@@ -40,19 +42,55 @@ def stable_sample(weights: DataFrame, constant: float, salt: str = "") -> DataFr
     return weights.select("id", "weight", unit_hash(F.col("id"), salt).alias("u")).where(F.col("u") < F.col("weight") * F.lit(float(constant)))
 
 
+#: Loads that are merged into one folder, so that a read never meets more folders than that.
+MERGE = 16
+
+
 class SampleStore:
-    """Running-maximum weights below ``path``: one new folder per load, so a failed load leaves the store as it was."""
+    """Weights below ``path`` (a folder that all executors share), one folder per load.
+
+    A load writes its own largest weights only; the running maximum over all loads is taken where weights are read, and every
+    MERGE loads are written together. Opening a path again finds what is stored there: a folder counts once it is complete, so a load
+    that failed leaves the store as it was and is simply added again. A load added twice changes nothing.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.step = spark, path.rstrip("/"), 0
+        self.spark, self.path = spark, path.rstrip("/")
+        self.base, self.step = self._found()
+
+    def _found(self) -> tuple[int, int]:
+        """(newest merged step, newest step) among the complete folders."""
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [x.getPath() for x in fs.listStatus(root)] if fs.exists(root) else []
+        done = [p.getName().split("=") for p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        base = max([0, *(int(k) for kind, k in done if kind == "upto")])
+        return base, max([base, *(int(k) for kind, k in done if kind == "step")])
 
     def weights(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/step={self.step}") if self.step else None
+        """(id, weight): the running maximum of all loads; None before the first one."""
+        paths = [f"{self.path}/upto={self.base}"] * (self.base > 0) + [f"{self.path}/step={k}" for k in range(self.base + 1, self.step + 1)]
+        if not paths:
+            return None
+        return self.spark.read.schema(_STORED.format(self._id_type())).parquet(*paths).groupBy("id").agg(F.max("weight").alias("weight"))
+
+    def _id_type(self) -> str:
+        newest = f"{self.path}/step={self.step}" if self.step > self.base else f"{self.path}/upto={self.base}"
+        return self.spark.read.parquet(newest).schema["id"].dataType.simpleString()
 
     def add(self, arrivals: DataFrame, identifier: str, weight: str | None = None) -> SampleStore:
-        running_weights(arrivals, identifier, weight, self.weights()).write.parquet(f"{self.path}/step={self.step + 1}")
+        """A load; null, negative and NaN weights count as 0. Identifiers must have the same type in all loads."""
+        running_weights(arrivals, identifier, weight).write.mode("overwrite").parquet(f"{self.path}/step={self.step + 1}")
         self.step += 1
+        if self.step - self.base >= MERGE:
+            self.weights().write.mode("overwrite").parquet(f"{self.path}/upto={self.step}")
+            self.base = self.step
         return self
 
     def sample(self, constant: float, salt: str = "") -> DataFrame:
-        return stable_sample(self.weights(), constant, salt)
+        """``stable_sample`` of all that was loaded; refused before the first load."""
+        weights = self.weights()
+        if weights is None:
+            raise ValueError(f"nothing was loaded into {self.path}")
+        return stable_sample(weights, constant, salt)

@@ -3,9 +3,11 @@ from collections import Counter
 from datetime import datetime
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from hashloom.llm import pair_table
+from hashloom.llm import stable_sample as stable_sample_module
 from hashloom.llm.heavy_hitters import ConservativeSketch, frequent, heavy_hitters
 from hashloom.llm.pair_table import PairTable, basket_changes
 from hashloom.llm.queries import QUERIES
@@ -180,6 +182,28 @@ def test_sample_is_stable_and_grows(spark, tmp_path):
     assert abs(sum(i in two for i in heavy) / len(heavy) - 0.3) < 0.05
 
 
+def test_store_is_opened_again_and_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stable_sample_module, "MERGE", 3)
+    path, kept = str(tmp_path / "s"), set()
+    other = spark.newSession()
+    for k in range(1, 8):
+        rows = spark.createDataFrame([(i, float((i * k) % 7)) for i in range(0, 300, k)], "id bigint, w double")
+        store = SampleStore(other if k % 2 else spark, path)  # each load by another object, in two sessions
+        assert store.step == k - 1
+        store.add(rows, "id", "w")
+        now = {r.id for r in SampleStore(spark, path).sample(0.05).collect()}
+        assert kept <= now
+        kept = now
+    want = {i: max((i * k) % 7 for k in range(1, 8) if i % k == 0) for i in range(300)}
+    assert {r.id: r.weight for r in SampleStore(spark, path).weights().collect()} == want
+    assert SampleStore(spark, path).base == 6
+    (tmp_path / "s" / "step=8").mkdir()  # a load that failed
+    assert SampleStore(spark, path).step == 7
+    assert SampleStore(spark, path).add(rows, "id", "w").step == 8
+    with pytest.raises(ValueError):
+        SampleStore(spark, str(tmp_path / "none")).sample(0.1)
+
+
 def test_sample_of_dirty_weights(spark):
     df = spark.createDataFrame([(1, None), (2, float("nan")), (3, -1.0), (None, 9.0), (4, 1e9), (4, 0.0)], "id bigint, weight double")
     assert ids(stable_sample(running_weights(df, "id", "weight"), 1.0)) == {4}
