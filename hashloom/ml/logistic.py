@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hashloom.operators.skew import sized_join
+
 
 def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
@@ -20,7 +22,7 @@ def gradient(triplets: DataFrame, labels: DataFrame, weights: DataFrame, rate: f
 
     ``labels`` is (row_id, y), ``weights`` (col_id, w) with missing ones 0. Rows without label are left out.
     """
-    z = triplets.join(weights, "col_id", "left").groupBy("row_id").agg(F.sum(F.col("value") * F.coalesce("w", F.lit(0.0))).alias("z"))
+    z = sized_join(triplets, weights.select("col_id", "w"), "col_id", "left").groupBy("row_id").agg(F.sum(F.col("value") * F.coalesce("w", F.lit(0.0))).alias("z"))
     push = z.join(labels, "row_id").select("row_id", (sigmoid(-F.col("y") * F.col("z")) * F.col("y") * F.lit(rate)).alias("p"))
     return triplets.join(push, "row_id").groupBy("col_id").agg(F.sum(F.col("value") * F.col("p")).alias("g"))
 

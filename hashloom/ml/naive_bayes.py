@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hashloom.functions.arrays import log_normalizer
 from hashloom.functions.hashing import to_unit
+from hashloom.operators.skew import sized_join
 from hashloom.session import checkpointed
 
 NEG_INF = float("-inf")
@@ -26,7 +27,7 @@ def posteriors(triplets: DataFrame, log_theta: DataFrame, log_priors: DataFrame)
 
     Every row with priors appears; rows without features keep their priors. Features without theta are left out.
     """
-    x = triplets.join(log_theta, "col_id").groupBy("row_id", "k").agg(F.sum(F.col("value") * F.col("log_theta")).alias("s"))
+    x = sized_join(triplets, log_theta.select("col_id", "k", "log_theta"), "col_id").groupBy("row_id", "k").agg(F.sum(F.col("value") * F.col("log_theta")).alias("s"))
     score = log_priors.join(x, ["row_id", "k"], "left").select("row_id", "k", (F.col("log_prior") + F.coalesce("s", F.lit(0.0))).alias("score"))
     # one row per record and class: a record's classes are few, so they are put together in arrays
     rows = score.groupBy("row_id").agg(F.collect_list(F.struct("k", "score")).alias("c"))

@@ -20,12 +20,20 @@ def enumerate_hashes(hashes: DataFrame, key: str = "hash", col: str = "col_id")
     return _ranked(hashes.where(F.col(key).isNotNull()).withColumn("__range", F.shiftright(F.col(key), 52)), key, col)
 
 
-def enumerate_ids(ids: DataFrame, key: str, col: str) -> DataFrame:
-    """The same for BIGINT keys that aren't hashes: 4,096 ranges of equal width between the smallest and the largest key."""
+def enumerate_ids(ids: DataFrame, key: str, col: str, ranges: int = 1024) -> DataFrame:
+    """The same for BIGINT keys that aren't hashes: ranges between approximate quantiles of the keys, so each holds about as many.
+
+    The quantiles, at most ``ranges`` numbers, are taken at once and kept as constants of the plan, so that every row finds its
+    range anew in the same way. However unevenly keys lie, a range has about 1 / ``ranges`` of them.
+    """
     known = ids.where(F.col(key).isNotNull())
-    low = known.agg(F.min(key).cast("double")).scalar()
-    width = known.agg((F.max(key).cast("double") - F.min(key).cast("double"))).scalar()
-    at = F.floor(F.coalesce(F.try_divide(F.col(key).cast("double") - low, width), F.lit(0.0)) * 4095)  # never falls as the key rises
+    cuts = known.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []
+    cuts = sorted(set(cuts))
+    if not cuts:
+        return _ranked(known.withColumn("__range", F.lit(0)), key, col)
+    bounds, steps = F.lit(cuts), F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+    # binary search: how many cuts lie at or below the key
+    at = F.aggregate(steps, F.lit(0), lambda n, s: F.when((n + s <= len(cuts)) & (F.get(bounds, n + s - 1) <= F.col(key)), n + s).otherwise(n))
     return _ranked(known.withColumn("__range", at), key, col)
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from hashloom.functions.hashing import keep_sampled, native_hash
 from hashloom.operators.dictionary import complete_dictionary, enumerate_hashes
 from hashloom.operators.matrix import SparseMatrix
+from hashloom.operators.skew import sized_join
+from hashloom.session import checkpointed
 
 
 def tokens(documents: DataFrame, row_id: str = "doc_id", text: str = "text", distinct: bool = False) -> DataFrame:
@@ -67,23 +69,17 @@ def hashed(features: DataFrame, hash_with: Callable[[Column], Column] = native_h
     return features.withColumn("hash", hash_with(F.col("feature")))
 
 
-def one_pass(features: DataFrame, row_keys: DataFrame, hash_with: Callable[[Column], Column] = native_hash, dedupe: bool = True) -> SparseMatrix:
+def one_pass(features: DataFrame, row_keys: DataFrame, hash_with: Callable[[Column], Column] = native_hash, dedupe: bool = True, unique: bool = False) -> SparseMatrix:
     """Matrix of all features. With a column cnt, values are the summed counts; otherwise 1 per distinct feature of a row.
 
-    ``dedupe=False`` keeps repeated features of a binary row as their number of occurrences, as nnz would count them. Rows without
-    features stay rows.
+    The dictionary is written to the shared folder before the cells are made; only distinct names are hashed. ``dedupe=False``
+    keeps repeated features of a binary row as their number of occurrences, as nnz would count them. ``unique`` says that no row has
+    a feature twice, which saves moving the cells. Rows without features stay rows.
     """
-    h = hashed(features, hash_with)
-    mapping = h.select("feature", "hash").distinct()
-    dictionary = complete_dictionary(mapping)
-    if "cnt" in features.columns:
-        cells = h.groupBy("row_id", "hash").agg(F.sum("cnt").alias("value"))
-    elif dedupe:
-        cells = h.select("row_id", "hash").distinct().withColumn("value", F.lit(1.0))
-    else:
-        cells = h.groupBy("row_id", "hash").agg(F.count(F.lit(1)).cast("double").alias("value"))
-    triplets = cells.join(dictionary.select("hash", "col_id"), "hash").select("row_id", "col_id", "value")
-    return SparseMatrix(triplets, row_keys.select("row_id"), dictionary)
+    if "cnt" not in features.columns and not dedupe:
+        features = features.withColumn("cnt", F.lit(1.0))
+    dictionary = checkpointed(complete_dictionary(hashed(features.select("feature").distinct(), hash_with)))
+    return with_dictionary(features, row_keys, dictionary, unique)
 
 
 def feature_counts(features: DataFrame) -> DataFrame:
@@ -130,17 +126,34 @@ def sample_report(features: DataFrame, min_count: float, top: int, hash_with: Ca
     return b.select("ok", (of_all - F.col("ok")).alias("too_low"), "collisions")
 
 
-def two_pass(features: DataFrame, row_keys: DataFrame, rate: float = 0.1, min_count: float = 10, top: int = 1_000_000, hash_with: Callable[[Column], Column] = native_hash, unit: Column | None = None) -> SparseMatrix:
-    """Matrix over the sampled dictionary: unknown features are dropped, rows left without features stay rows.
+def two_pass(
+    features: DataFrame, row_keys: DataFrame, rate: float = 0.1, min_count: float = 10, top: int = 1_000_000, hash_with: Callable[[Column], Column] = native_hash, unit: Column | None = None, cells: DataFrame | None = None, unique: bool = False
+) -> SparseMatrix:
+    """Matrix over the sampled dictionary, which is written to the shared folder between the passes.
 
-    Write the dictionary and pass it to ``with_dictionary`` to cut the plan between the passes.
+    Unknown features are dropped, rows left without features stay rows. ``cells``: the features of the second pass where they aren't those
+    of the first, as counted or distinct ones; ``unique`` as in ``one_pass``.
     """
-    return with_dictionary(features, row_keys, dictionary_sample(features, rate, min_count, top, hash_with, unit), hash_with)
+    dictionary = checkpointed(dictionary_sample(features, rate, min_count, top, hash_with, unit))
+    return with_dictionary(features if cells is None else cells, row_keys, dictionary, unique)
+
 
+def with_dictionary(features: DataFrame, row_keys: DataFrame, dictionary: DataFrame, unique: bool = False) -> SparseMatrix:
+    """Matrix of the features that the dictionary (hash, names, col_id [, counts]) names.
 
-def with_dictionary(features: DataFrame, row_keys: DataFrame, dictionary: DataFrame, hash_with: Callable[[Column], Column] = native_hash) -> SparseMatrix:
-    """Matrix of the features whose hash the dictionary has; the join is broadcast only if the planner finds the dictionary small."""
-    h = hashed(features, hash_with).join(dictionary.select("hash", "col_id"), "hash")
-    value = F.sum("cnt") if "cnt" in features.columns else F.lit(1.0)
-    cells = h.groupBy("row_id", "col_id").agg(value.alias("value")) if "cnt" in features.columns else h.select("row_id", "col_id").distinct().withColumn("value", value)
+    Features meet the dictionary by name, so that nothing is hashed here. Its size is counted: a small one is sent to the executors,
+    for a larger one frequent features are cut into shards. An unknown feature isn't counted, not even if it shares a hash. Cells
+    move only if counts are summed up, or if a row may have a column twice: unless ``unique``, or where names share a column.
+    """
+    names = F.explode(F.arrays_zip("names", "counts") if "counts" in dictionary.columns else F.transform("names", lambda n: F.struct(n.alias("names"))))
+    known = dictionary.select("col_id", names.alias("x")).select(F.col("x.names").alias("feature"), "col_id", *([F.col("x.counts").alias("n")] if "counts" in dictionary.columns else []))
+    loads = known.select("feature", "n") if "n" in known.columns else None
+    met = sized_join(features, known.select("feature", "col_id"), "feature", loads=loads)
+    if "cnt" in features.columns:
+        cells = met.groupBy("row_id", "col_id").agg(F.sum("cnt").alias("value"))
+    else:
+        cells = met.select("row_id", "col_id")
+        if not unique or not dictionary.where("size(names) > 1").isEmpty():
+            cells = cells.distinct()
+        cells = cells.withColumn("value", F.lit(1.0))
     return SparseMatrix(cells, row_keys.select("row_id"), dictionary)

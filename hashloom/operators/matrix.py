@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom.operators.dictionary import enumerate_hashes
+from hashloom.operators.skew import sized_join
 
 
 @dataclass
@@ -160,12 +161,12 @@ class SparseMatrix:
 
     def times_vector(self, weights: DataFrame) -> DataFrame:
         """(row_id, value): the sum of value x weight over a row; ``weights`` is (col_id, w), missing ones count 0, every row appears."""
-        x = self.triplets.join(weights.select("col_id", "w"), "col_id").groupBy("row_id").agg(F.sum(F.col("value") * F.col("w")).alias("v"))
+        x = sized_join(self.triplets, weights.select("col_id", "w"), "col_id").groupBy("row_id").agg(F.sum(F.col("value") * F.col("w")).alias("v"))
         return self.row_keys.join(x, "row_id", "left").select("row_id", F.coalesce("v", F.lit(0.0)).alias("value"))
 
     def times_matrix(self, theta: DataFrame) -> DataFrame:
         """(row_id, j, value) for ``theta`` (col_id, j, v); rows without entries have no result rows."""
-        return self.triplets.join(theta.select("col_id", "j", "v"), "col_id").groupBy("row_id", "j").agg(F.sum(F.col("value") * F.col("v")).alias("value"))
+        return sized_join(self.triplets, theta.select("col_id", "j", "v"), "col_id").groupBy("row_id", "j").agg(F.sum(F.col("value") * F.col("v")).alias("value"))
 
     def outer_plus(self, row_values: DataFrame) -> DataFrame:
         """(col_id, j, value): values (row_id, j, v) of the rows, added up over the columns the rows have."""

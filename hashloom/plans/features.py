@@ -27,10 +27,8 @@ def _keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _matrix(spark: SparkSession, d: str) -> SparseMatrix:
-    """All tokens. The dictionary is written once between the passes, as it is used in every one of them."""
-    tokens = X.tokens(table(spark, d, "documents"), distinct=True)
-    dictionary = checkpointed(D.complete_dictionary(X.hashed(tokens.select("feature").distinct(), md5_hash)))
-    return X.with_dictionary(tokens, _keys(spark, d), dictionary, md5_hash)
+    """All tokens, each once per document."""
+    return X.one_pass(X.tokens(table(spark, d, "documents"), distinct=True), _keys(spark, d), md5_hash, unique=True)
 
 
 def feat_dims(spark, d):
@@ -83,9 +81,7 @@ def vectors_packed(spark, d):
 
 def count_matrix(spark, d):
     """Token counts; the count vectors of the same dictionary."""
-    tokens = _tokens(spark, d)
-    dictionary = checkpointed(D.complete_dictionary(X.hashed(tokens.select("feature").distinct(), md5_hash)))
-    m = X.with_dictionary(tokens.withColumn("cnt", F.lit(1.0)), _keys(spark, d), dictionary, md5_hash)
+    m = X.one_pass(_tokens(spark, d).withColumn("cnt", F.lit(1.0)), _keys(spark, d), md5_hash)
     return m.triplets.select("row_id", "col_id", F.col("value").cast("bigint").alias("tf"))
 
 
@@ -104,10 +100,9 @@ def colsums_binary(spark, d):
 
 
 def _top(spark, d, counts: bool = False) -> SparseMatrix:
-    """The matrix of the 500 most frequent tokens; the dictionary is written between the two passes."""
-    dictionary = checkpointed(X.dictionary_sample(_tokens(spark, d), 1.0, 10, 500, md5_hash))
-    tokens = _tokens(spark, d).withColumn("cnt", F.lit(1.0)) if counts else X.tokens(table(spark, d, "documents"), distinct=True)
-    return X.with_dictionary(tokens, _keys(spark, d), dictionary, md5_hash)
+    """The matrix of the 500 most frequent tokens: the first pass counts all of them, the second one has counts or distinct tokens."""
+    cells = _tokens(spark, d).withColumn("cnt", F.lit(1.0)) if counts else X.tokens(table(spark, d, "documents"), distinct=True)
+    return X.two_pass(_tokens(spark, d), _keys(spark, d), 1.0, 10, 500, md5_hash, cells=cells, unique=True)
 
 
 def cooccurrence_top(spark, d):

@@ -18,36 +18,32 @@ def hash_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("hash is not null").select("row_id", F.col("hash").alias("key_value"), F.coalesce(F.expr(POSITIVE), F.lit(0)).alias("amount"))
 
 
-def _field(name: str, df: DataFrame, loads: DataFrame, spread: str) -> DataFrame:
-    plan = plan_shards(loads, "key_value")
-    return balanced_aggregate(
-        df, "key_value",
-        [F.count(F.lit(1)).alias("n"), F.sum("amount").alias("t")],
-        [F.sum("n").alias("n_rows"), F.sum("t").alias("total")],
-        plan, [spread],
-    ).select(F.lit(name).alias("field"), "key_value", "n_rows", "total")
+def _field(name: str, df: DataFrame) -> DataFrame:
+    summed = balanced_aggregate(df.withColumn("n_rows", F.lit(1).cast("bigint")), "key_value", ["n_rows", "total"])
+    return summed.select(F.lit(name).alias("field"), "key_value", "n_rows", "total")
 
 
-def key_totals(spark: SparkSession, d: str) -> DataFrame:
-    """(field, key_value, n_rows, total) for every hash of dictionary_rows and every column of matrix_blocks.
-
-    n_rows counts row ids (of a hash) or entries (of a column); total is the sum of positive counts, or the entries again.
-    Loads are estimated from the key columns as delivered: a redelivered row changes the plan a little, never the result.
-    """
-    raw = table(spark, d, "dictionary_rows").where("hash is not null").select(F.col("hash").alias("key_value"))
-    entries = block_entries(table(spark, d, "matrix_blocks")).select("block_id", F.col("col_id").alias("key_value"), F.lit(1).cast("bigint").alias("amount"))
-    return _field("dictionary_rows.hash", hash_rows(spark, d), raw, "row_id").unionByName(_field("matrix_blocks.col_ids", entries, entries, "block_id"))
+def _fields(spark: SparkSession, d: str) -> list[DataFrame]:
+    entries = block_entries(table(spark, d, "matrix_blocks")).select(F.col("col_id").alias("key_value"), F.lit(1).cast("bigint").alias("total"))
+    return [_field("dictionary_rows.hash", hash_rows(spark, d).withColumnRenamed("amount", "total")), _field("matrix_blocks.col_ids", entries)]
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """(field, key_value): keys with at least 2 % of the row ids (hash not null) or of the entries."""
-    totals = key_totals(spark, d)
-    per_field = totals.groupBy("field").agg(F.sum("n_rows").alias("of"))
-    return totals.join(F.broadcast(per_field), "field").where("n_rows * 50 >= of").select("field", "key_value")
+    out = []
+    for totals in _fields(spark, d):
+        of_all = totals.agg(F.sum("n_rows")).scalar()
+        out.append(totals.where(F.col("n_rows") * 50 >= of_all).select("field", "key_value"))
+    return out[0].unionByName(out[1])
 
 
 def p3_key_totals(spark: SparkSession, d: str) -> DataFrame:
-    return key_totals(spark, d)
+    """(field, key_value, n_rows, total) for every hash of dictionary_rows and every column of matrix_blocks.
+
+    n_rows counts row ids (of a hash) or entries (of a column); total is the sum of positive counts, or the entries again.
+    """
+    one, two = _fields(spark, d)
+    return one.unionByName(two)
 
 
 def p3_shared_hashes(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -20,6 +21,7 @@ def local_session(app: str = "hashloom", cpus: str | int = "*", shuffle_partitio
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("HASHLOOM_DRIVER_MEMORY", "8g"))
         .getOrCreate()
@@ -52,9 +54,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_scratch: list[tuple[object, str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/hashloom/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, deleted when the driver's Python ends: frames read from it may be used until then."""
+    path = f"{shared_dir(spark)}/hashloom/{name}-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(drop_scratch)
+    _scratch.append((spark.sparkContext._gateway.jvm, path))
+    return path
+
+
+def drop_scratch() -> None:
+    """Deletes all scratch paths of this process at once. Frames read from them can't be used any more."""
+    while _scratch:
+        jvm, path = _scratch.pop()
+        try:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+        except Exception:  # noqa: BLE001, S112: the JVM or the folder is gone already
+            continue
 
 
 def ship(spark: SparkSession) -> SparkSession:

@@ -116,3 +116,19 @@ def test_empty_everything(spark):
     m = X.one_pass(f, f.select("row_id"))
     assert tuple(m.dims().first()) == (0, 0, 0) and m.packed().count() == 0 and m.column_sums().count() == 0
     assert X.two_pass(f, f.select("row_id"), 1.0).dims().first()["nnz"] == 0
+
+
+def test_enumerate_ids_however_keys_lie(spark):
+    keys = [*range(3000), 9 * 10**18, -(9 * 10**18), *range(10**12, 10**12 + 50)]
+    df = spark.createDataFrame([(k,) for k in keys] + [(None,)], "id bigint")
+    got = {r.id: r.pos for r in D.enumerate_ids(df, "id", "pos", ranges=16).collect()}
+    assert got == {k: i for i, k in enumerate(sorted(keys))}
+    assert D.enumerate_ids(df.limit(0), "id", "pos").count() == 0
+    assert [r.pos for r in D.enumerate_ids(spark.createDataFrame([(5,)], "id bigint"), "id", "pos").collect()] == [0]
+
+
+def test_unknown_names_and_shared_columns(spark):
+    f = spark.createDataFrame([(1, "a"), (1, "b"), (1, "zz"), (2, "b"), (2, "b"), (3, None)], "row_id bigint, feature string").withColumn("extra", F.lit(1))
+    dictionary = spark.createDataFrame([(5, ["a", "b"], 0)], "hash bigint, names array<string>, col_id int")
+    m = X.with_dictionary(f, f.select("row_id").distinct(), dictionary, unique=True)
+    assert sorted(map(tuple, m.triplets.collect())) == [(1, 0, 1.0), (2, 0, 1.0)]

@@ -1,10 +1,11 @@
+import random
 from collections import Counter
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hashloom.operators.skew import TASK, balanced_aggregate, balanced_apply, balanced_join, pack, plan_shards, route
+from hashloom.operators.skew import TASK, balanced_aggregate, balanced_apply, balanced_join, pack, placed, plan_shards, route, sized_join
 
 
 @pytest.fixture(scope="module")
@@ -22,9 +23,31 @@ def test_heavy_key_is_split_and_loads_even_out(skewed):
 
 def test_aggregate_equals_group_by(skewed):
     plan = plan_shards(skewed, "k", tasks=8)
-    got = balanced_aggregate(skewed, "k", [F.count(F.lit(1)).alias("n"), F.sum("v").alias("s")], [F.sum("n").alias("n"), F.sum("s").alias("s")], plan, ["id"])
-    want = skewed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
+    got = balanced_aggregate(skewed.withColumn("n", F.lit(1).cast("bigint")), "k", ["n", "v"], plan)
+    want = skewed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("v"))
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+    text = got._jdf.queryExecution().toString()
+    assert TASK in text.split("== Optimized Logical Plan ==")[1] and "RepartitionById" in text.replace("RepartitionByExpression", "RepartitionById")
+
+
+def test_rows_lie_where_the_plan_packed_them(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice([1, 1, 1, 1, 2, 3]) if i % 2 else rng.randrange(10, 3000)) for i in range(40_000)]
+    df = spark.createDataFrame(rows, "id bigint, k bigint")
+    plan = plan_shards(df, "k", tasks=64)
+    here = placed(df, "k", plan, ["id"]).withColumn("at", F.spark_partition_id())
+    loads = {r["at"]: r["n"] for r in here.groupBy("at").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert here.where(F.col("at") != F.col(TASK)).count() == 0
+    assert len(loads) == 64 and max(loads.values()) <= 2 * min(loads.values())
+    assert sum(plan.loads()) > 39_000 and max(plan.loads()) <= 2 * min(plan.loads())
+
+
+@pytest.mark.parametrize("most", [10**9, 0])
+def test_sized_join_both_ways(spark, skewed, most):
+    right = spark.createDataFrame([(7, "a"), (7, "b"), (9, None), (None, "n")], "k bigint, w string")
+    for how in ("inner", "left"):
+        got, want = sized_join(skewed, right, "k", how, most=most), skewed.join(right, "k", how)
+        assert Counter(map(tuple, got.select("id", "k", "v", "w").collect())) == Counter(map(tuple, want.select("id", "k", "v", "w").collect()))
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
@@ -53,7 +76,7 @@ def test_apply_sees_sorted_runs(skewed):
 def test_empty_table(spark):
     e = spark.createDataFrame([], "id bigint, k bigint, v bigint")
     assert plan_shards(e, "k").heavy == []
-    assert balanced_aggregate(e, "k", [F.count(F.lit(1)).alias("n")], [F.sum("n").alias("n")]).count() == 0
+    assert balanced_aggregate(e, "k", ["v"]).count() == 0
 
 
 def test_pack_is_even():
