@@ -36,9 +36,10 @@ CROWD = 256
 FIRST, LAST = 12, 300
 #: Share of sets (by hash) whose prefixes are counted to find those that are shared by very many sets before anything is moved.
 PROBE = 64
-#: Minhash values in the sketch that travels with a signature, two bits of each; pairs that agree in fewer of them than 5 sigma below the
-#: mean at the threshold aren't verified, which loses about one in 10^6 of the pairs at the threshold itself.
-SKETCH = 128
+#: Minhash values in the sketch that travels with a signature, two bits of each; pairs that agree in fewer of them than 4 sigma below the
+#: mean at the threshold aren't verified, which loses about 4 in 10^5 of the pairs at the threshold itself. The trees have the other
+#: part of what the recall lets miss.
+SKETCH, SIGMA, TREES_PART = 128, 4, 0.6
 
 
 @dataclass(frozen=True)
@@ -52,21 +53,21 @@ class Round:
 
 def trees_for(threshold: float, recall: float, depth: int) -> int:
     p = threshold**depth
-    return math.ceil(math.log(1 - recall) / math.log1p(-p)) if p > 1e-12 else 1 << 40
+    return math.ceil(math.log((1 - recall) * TREES_PART) / math.log1p(-p)) if p > 1e-12 else 1 << 40
 
 
 def rounds(threshold: float, recall: float) -> list[Round]:
     """From the depth that FIRST trees reach to that which LAST trees reach, at least 1 and at most VALUES."""
     depth_of = lambda n: max([1, *(d for d in range(1, VALUES + 1) if trees_for(threshold, recall, d) <= n)])
     first, last = depth_of(FIRST), depth_of(LAST)
-    depths = [first, *(d for d in (first + 1, first + 2, first + 4, first + 6) if d < last)]
+    depths = [first, *(d for d in (first + 1, first + 3, first + 6) if d < last)]
     total = [trees_for(threshold, recall, d) for d in depths]
     return [*(Round(d, n - before) for d, n, before in zip(depths, total, [0, *total])), Round(last, trees_for(threshold, recall, last), True)]
 
 
 def least_agreement(threshold: float) -> int:
     p = threshold + (1 - threshold) / 4
-    return math.floor(SKETCH * p - 5 * math.sqrt(SKETCH * p * (1 - p)))
+    return math.floor(SKETCH * p - SIGMA * math.sqrt(SKETCH * p * (1 - p)))
 
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
