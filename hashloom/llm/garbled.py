@@ -168,9 +168,19 @@ class Model:
         return {k: size(k, v) for k, v in self.dictionaries.items()}
 
 
+def _perhaps() -> re.Pattern:
+    """One quick pattern that finds whatever ``suspicious`` may find, and more."""
+    kinds = [("".join(re.escape(c) for c, b in t.items() if low <= b <= high)) for low, high in ((0xC2, 0xF4), (0x80, 0xBF)) for n, t in _BYTES.items() if n != "mac_roman"]
+    half = len(kinds) // 2
+    return re.compile(f"[\ufffd\x80-\x9f]|[{''.join(kinds[:half])}][{''.join(kinds[half:])}]")
+
+
+_PERHAPS = _perhaps()
+
+
 def suspicious(text: str) -> bool:
     """True if the text has characters that only wrong decodings make, or looks like UTF-8 read in another charset."""
-    return bool(_NEVER.search(text)) or any(p.search(text) for c, p in _LEAD.items() if c != "mac_roman")
+    return bool(_PERHAPS.search(text)) and (bool(_NEVER.search(text)) or any(p.search(text) for c, p in _LEAD.items() if c != "mac_roman"))
 
 
 def counted(texts: Iterable[tuple[str | None, str | None]], own: Container[str] = ()) -> Counter:
@@ -178,16 +188,21 @@ def counted(texts: Iterable[tuple[str | None, str | None]], own: Container[str]
 
     Kinds are line, char (lines with the character) and word (of all languages together). ``own``: codes with a dictionary of their own.
     """
-    out: Counter = Counter()
+    out, words, chars_of = Counter(), Counter(), defaultdict(Counter)
     for text, lang in texts:
         if not text or text.isascii():
             continue
         name = _language(lang, own)
+        lines, chars = 0, chars_of[name]
         for line in text.split("\n"):
             if not line.isascii() and not suspicious(line):
-                out["line", name, ""] += 1
-                out.update(("word", "", _shape(w)) for w in _TOKEN.findall(line))
-                out.update(("char", name, c) for c in {*line} if c > "\x7f")
+                lines += 1
+                words.update(map(_shape, _TOKEN.findall(line)))
+                chars.update(c for c in {*line} if c > "\x7f")
+        if lines:
+            out["line", name, ""] += lines
+    out.update({("word", "", w): n for w, n in words.items()})
+    out.update({("char", name, c): n for name, chars in chars_of.items() for c, n in chars.items()})
     return out
 
 
@@ -232,7 +247,7 @@ def train(sample: list[tuple[str, str | None]], size: int = DICTIONARY_BYTES, co
 
 def _shape(word: str) -> str:
     """The word with each run of digits as one 0."""
-    return _DIGITS.sub("0", word)
+    return word if word.isalpha() else _DIGITS.sub("0", word)
 
 
 def _cost(chain: str) -> float:
