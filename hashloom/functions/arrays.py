@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _col(x: str | Column) -> Column:
@@ -41,14 +44,14 @@ def log_normalize(a: str | Column) -> Column:
     return bound(log_normalizer(a), lambda z: F.transform(_col(a), lambda x: F.exp(x.cast("double") - z)))
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _running(a: pd.Series) -> pd.Series:
+    return a.map(lambda x: None if x is None else np.cumsum(np.array(x, dtype=float)))
+
+
 def cumulative_sum(a: str | Column) -> Column:
-    """Running sums: a fold that appends to its own result, linear in the number of elements per step copied."""
-    start = F.struct(F.array().cast("array<double>").alias("out"), F.lit(0.0).alias("s"))
-    return F.aggregate(
-        _col(a), start,
-        lambda acc, x: F.struct(F.array_append(acc["out"], acc["s"] + x.cast("double")).alias("out"), (acc["s"] + x.cast("double")).alias("s")),
-        lambda acc: acc["out"],
-    )
+    """Running sums; null for a null array, and from the first null element on NaN. One pass over each array, in Arrow batches."""
+    return _running(_col(a).cast("array<double>"))
 
 
 def dense_dot(ids: str | Column, weights: str | Column) -> Column:

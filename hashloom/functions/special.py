@@ -80,3 +80,8 @@ def log_gamma_udf(z: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def digamma_udf(z: pd.Series) -> pd.Series:
     return pd.Series(digamma(z.to_numpy()))
+
+
+@F.pandas_udf(T.DoubleType())
+def trigamma_udf(z: pd.Series) -> pd.Series:
+    return pd.Series(trigamma(z.to_numpy()))

@@ -6,6 +6,7 @@ size doesn't grow with the number of observations, only with the largest count.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashloom.functions.special import digamma, log_gamma
+from hashloom.session import checkpointed
+
+#: Bins of all histograms together.
+BINS = 20_000_000
 
 
 @dataclass
@@ -50,16 +55,21 @@ class Dirichlet:
 
 
 def histograms(counts: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    """(histogram of counts by dimension, histogram of lengths) of counts (row_id, k 0-based, n), zeros needn't be listed."""
+    """(histogram of counts by dimension, histogram of lengths) of counts (row_id, k 0-based, n), zeros needn't be listed.
+
+    The histograms are written and counted first: more than BINS rows, or a largest count or dimension beyond that, are refused, as the
+    fits hold them in the driver's memory.
+    """
     positive = counts.where("n > 0")
-    by_dim = positive.groupBy("k", "n").agg(F.count(F.lit(1)).alias("m")).collect()
-    by_len = positive.groupBy("row_id").agg(F.sum("n").alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect()
-    size = max((r["k"] for r in by_dim), default=-1) + 1
-    dims = []
-    for k in range(size):
-        own = {r["n"]: r["m"] for r in by_dim if r["k"] == k}
-        dims.append(_dense(own))
-    return dims, _dense({r["n"]: r["m"] for r in by_len})
+    by_dim = checkpointed(positive.groupBy("k", "n").agg(F.count(F.lit(1)).alias("m")))
+    by_len = checkpointed(positive.groupBy("row_id").agg(F.sum("n").alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("m")))
+    dense = by_dim.groupBy("k").agg(F.max("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("k"), F.lit(0))).first()
+    if max(by_dim.count(), by_len.count(), dense[0], dense[1], by_len.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]) > BINS:
+        raise ValueError(f"histograms of more than {BINS} bins")
+    own: dict[int, dict[int, int]] = defaultdict(dict)
+    for r in by_dim.collect():
+        own[r["k"]][r["n"]] = r["m"]
+    return [_dense(own.get(k, {})) for k in range(max(own, default=-1) + 1)], _dense({r["n"]: r["m"] for r in by_len.collect()})
 
 
 def _dense(counts: dict[int, int]) -> np.ndarray:
@@ -136,7 +146,21 @@ def moments(proportions: DataFrame) -> DataFrame:
 
 
 def fit_moments(stats: list[tuple[float, float]]) -> np.ndarray:
-    """Ronning's moments: the log magnitude is the mean of ln(m (1 - m) / v - 1) over all dimensions but the last."""
+    """Parameters from (mean, variance) by dimension: the log magnitude is the sum of ln(m (1 - m) / v - 1) over the dimensions with m > 0,
+    divided by their number less 1 (of all dimensions, also those with m = 0).
+
+    That divisor belongs to a sum that leaves one dimension out; it is kept, as results are compared with those of that formula, so
+    the magnitude comes out to the power K / (K - 1). ``fit_moments_but_last`` leaves one out. NaN where a variance is 0 or too
+    large, as the logarithm has no value there.
+    """
+    m, v = np.array(stats, dtype=float).T
+    with np.errstate(all="ignore"):
+        logs = np.log(m * (1 - m) / v - 1)[m > 0]
+        return m * np.exp(logs.sum() / (len(m) - 1))
+
+
+def fit_moments_but_last(stats: list[tuple[float, float]]) -> np.ndarray:
+    """Ronning's own estimate: the mean over all dimensions but the last, unusable ones (v = 0, or v >= m (1 - m)) left out."""
     m, v = np.array(stats, dtype=float).T
     usable = (v[:-1] > 0) & (m[:-1] * (1 - m[:-1]) > v[:-1])
     logs = np.log(m[:-1][usable] * (1 - m[:-1][usable]) / v[:-1][usable] - 1)

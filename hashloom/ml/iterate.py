@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Cells of a dense accumulator (80 MB).
+CELLS = 10_000_000
+
+
 class Accumulated(Protocol):
     """``start`` gives the accumulator, ``add`` takes one batch into a fresh one, ``end`` says whether to stop."""
 
@@ -22,7 +26,12 @@ class Accumulated(Protocol):
 
 
 def partial_sums(data: DataFrame, shape: tuple[int, ...], add: Callable[[pd.DataFrame, np.ndarray], None]) -> np.ndarray:
-    """Element-wise sums of dense accumulators: one partial per task, added up by position before they reach the driver."""
+    """Element-wise sums of dense accumulators: one partial per task, added up by position before they reach the driver.
+
+    Every task and the driver hold one accumulator, so more than CELLS cells are refused: use ``array_sums`` for those.
+    """
+    if int(np.prod(shape)) > CELLS:
+        raise ValueError(f"accumulators of more than {CELLS} cells don't belong in one task")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = np.zeros(shape)

@@ -11,13 +11,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashloom.functions.special import digamma, log_gamma
 
-#: Matrices of more cells than this aren't broadcast.
-LIMIT = 200_000_000
+#: Cells of topics x words that are held by the driver, and twice by each worker (lambda and E[log beta], 160 MB each). Larger models are refused.
+LIMIT = 20_000_000
+#: Rounds of inference for one document; documents that stop there are counted.
+CAP = 200
 
 
 @dataclass
@@ -29,12 +32,18 @@ class LdaModel:
     tau0: float = 256.0
     kappa: float = 0.5
     updates: int = 0
+    unconverged: int = 0  # documents of the last ``learn`` whose inference ended at the cap
 
     @classmethod
-    def start(cls, topics: int, words: int, corpus_size: int, seed: int = 0, even: bool = False, **how) -> LdaModel:
-        """Random rows that sum to 1. ``even`` starts near 1 in every cell instead: words then choose their topics by document first."""
+    def start(cls, topics: int, words: int, corpus_size: int, seed: int = 0, even: bool = False, lam: np.ndarray | None = None, **how) -> LdaModel:
+        """Random rows that sum to 1. ``even`` starts near 1 in every cell instead: words then choose their topics by document first.
+
+        ``lam`` (topics x words) is a start of one's own.
+        """
         if topics * words > LIMIT:
             raise ValueError(f"more than {LIMIT} cells of topics x words")
+        if lam is not None:
+            return cls(np.array(lam, dtype=float), corpus_size, **how)
         rng = np.random.default_rng(seed)
         if even:
             return cls(rng.gamma(100.0, 0.01, (topics, words)), corpus_size, **how)
@@ -50,8 +59,8 @@ class LdaModel:
 
     # kernels over one document
 
-    def infer(self, words: np.ndarray, log_beta: np.ndarray, cap: int = 200, eps: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
-        """(gamma, phi topics x words of the document): iterated from gamma 1 until it changes by less than ``eps`` on average, at most ``cap`` times."""
+    def infer(self, words: np.ndarray, log_beta: np.ndarray, cap: int = CAP, eps: float = 1e-5) -> tuple[np.ndarray, np.ndarray, bool]:
+        """(gamma, phi topics x words of the document, converged): iterated from gamma 1 until it changes by less than ``eps`` on average, at most ``cap`` times."""
         gamma = np.ones(len(self.lam))
         own = log_beta[:, words]
         phi = np.empty_like(own)
@@ -64,11 +73,11 @@ class LdaModel:
             moved = np.abs(new - gamma).mean()
             gamma = new
             if moved < eps:
-                break
-        return gamma, phi
+                return gamma, phi, True
+        return gamma, phi, False
 
     def document_bound(self, words: np.ndarray, log_beta: np.ndarray) -> float:
-        gamma, _ = self.infer(words, log_beta)
+        gamma = self.infer(words, log_beta)[0]
         log_theta = digamma(gamma) - digamma(gamma.sum())
         score = 0.0
         if len(words):
@@ -97,48 +106,57 @@ class LdaModel:
 
         return vectors.select("row_id", "col_ids").mapInArrow(run, schema)
 
-    def statistics(self, vectors: DataFrame) -> DataFrame:
-        """(col_id, stats ARRAY<DOUBLE>, n_docs): phi summed up per word and Arrow batch; documents without words count in a row without col_id."""
+    def statistics(self, vectors: DataFrame, cap: int = CAP) -> DataFrame:
+        """(col_id, stats ARRAY<DOUBLE>, n_docs, n_capped): phi summed up per word and Arrow batch; a row without col_id has the numbers of
+        documents, those without words among them, and of those whose inference ended at the cap."""
 
         def each(model, log_beta, b, docs):
-            total: dict[int, np.ndarray] = {}
+            phis, capped = [], 0
             for d in docs:
-                _, phi = model.infer(d, log_beta)
-                for j, w in enumerate(d):
-                    total[w] = total.get(w, 0.0) + phi[:, j]
-            ids = list(total)
+                _, phi, converged = model.infer(d, log_beta, cap)
+                phis.append(phi.T)
+                capped += not converged
+            ids, inverse = np.unique(np.concatenate(docs) if docs else np.empty(0, np.int64), return_inverse=True)
+            total = np.zeros((len(ids), len(model.lam)))
+            if len(ids):
+                np.add.at(total, inverse, np.concatenate(phis))
+            stats = pa.ListArray.from_arrays(pa.array(np.arange(0, total.size + 1, len(model.lam)), pa.int32()), pa.array(total.ravel()))
+            none = pa.array([None], pa.list_(pa.float64()))
+            zeros = np.zeros(len(ids), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([None, *ids], pa.int64()), pa.array([None, *[total[i].tolist() for i in ids]], pa.list_(pa.float64())), pa.array([len(docs), *[0] * len(ids)], pa.int64())], names=["col_id", "stats", "n_docs"]
-            )
+                [pa.concat_arrays([pa.array([None], pa.int64()), pa.array(ids)]), pa.concat_arrays([none, stats]), pa.array(np.append([len(docs)], zeros)), pa.array(np.append([capped], zeros))],
+                names=["col_id", "stats", "n_docs", "n_capped"],
+            )
 
-        return self._over(vectors, each, "col_id bigint, stats array<double>, n_docs bigint")
+        return self._over(vectors, each, "col_id bigint, stats array<double>, n_docs bigint, n_capped bigint")
 
-    def learn(self, vectors: DataFrame) -> LdaModel:
+    def learn(self, vectors: DataFrame, cap: int = CAP) -> LdaModel:
         """One update from a batch of documents (row_id, col_ids): every word's lambda moves, also those not in the batch."""
         k = len(self.lam)
         sums = [F.sum(F.get("stats", i)).alias(f"s{i}") for i in range(k)]
-        got = self.statistics(vectors).groupBy("col_id").agg(F.sum("n_docs").alias("n"), *sums).toArrow()  # one row per word of the model
-        ids = got["col_id"].to_pylist()
-        n = sum(x for i, x in zip(ids, got["n"].to_pylist()) if i is None)
+        got = self.statistics(vectors, cap).groupBy("col_id").agg(F.sum("n_docs").alias("n"), F.sum("n_capped").alias("c"), *sums).toArrow()  # one row per word of the model
+        known = got.filter(pc.is_valid(got["col_id"]))
+        n = sum(got["n"].to_pylist())
         if not n:
             return self
         stats = np.zeros_like(self.lam)
-        at = [j for j, i in enumerate(ids) if i is not None]
+        at = known["col_id"].to_numpy()
         for t in range(k):
-            stats[t, [ids[j] for j in at]] = got[f"s{t}"].to_numpy()[at]
+            stats[t, at] = known[f"s{t}"].to_numpy()
         rho = self.rho()
         self.lam = (1 - rho) * self.lam + rho * (self.eta + self.corpus_size / n * stats)
         self.updates += 1
+        self.unconverged = sum(got["c"].to_pylist())
         return self
 
-    def document_topics(self, vectors: DataFrame) -> DataFrame:
-        """(row_id, gamma ARRAY<DOUBLE>)."""
+    def document_topics(self, vectors: DataFrame, cap: int = CAP) -> DataFrame:
+        """(row_id, gamma ARRAY<DOUBLE>, converged): converged is false where inference ended at the cap."""
 
         def each(model, log_beta, b, docs):
-            g = [model.infer(d, log_beta)[0].tolist() for d in docs]
-            yield pa.RecordBatch.from_arrays([b.column("row_id"), pa.array(g, pa.list_(pa.float64()))], names=["row_id", "gamma"])
+            g = [model.infer(d, log_beta, cap) for d in docs]
+            yield pa.RecordBatch.from_arrays([b.column("row_id"), pa.array([x[0].tolist() for x in g], pa.list_(pa.float64())), pa.array([x[2] for x in g], pa.bool_())], names=["row_id", "gamma", "converged"])
 
-        return self._over(vectors, each, f"row_id {vectors.schema['row_id'].dataType.simpleString()}, gamma array<double>")
+        return self._over(vectors, each, f"row_id {vectors.schema['row_id'].dataType.simpleString()}, gamma array<double>, converged boolean")
 
     def bound(self, vectors: DataFrame) -> float:
         """The evidence lower bound, the documents' part scaled to the corpus."""

@@ -67,14 +67,15 @@ def random_start(triplets: DataFrame, priors: DataFrame, seed: int = 0) -> tuple
     return emissions(triplets, drawn.select("row_id", F.coalesce(F.get(first, 0)["k"], F.element_at("c", -1)["k"]).alias("k"), F.lit(1.0).alias("post")))
 
 
-def em(triplets: DataFrame, priors: DataFrame, weight: float = 1.0, rounds: int = 100, min_gain: float = 1e-10, seed: int = 0) -> tuple[DataFrame, DataFrame, list[float]]:
+def em(triplets: DataFrame, priors: DataFrame, weight: float = 1.0, rounds: int = 100, min_gain: float = 1e-10, seed: int = 0, start: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, list[float]]:
     """(log_theta, posteriors, log likelihoods by round) after EM with MAP steps until the log likelihood gains less than ``min_gain``.
 
-    Theta is written to the shared folder each round, so that lineage doesn't grow. The driver keeps one number per round.
+    Theta is written to the shared folder each round, so that lineage doesn't grow. The driver keeps one number per round. ``start`` is
+    (num, den) of ``emissions`` in place of random ones.
     """
     triplets, rates = checkpointed(triplets), checkpointed(feature_rates(triplets))
     log_priors = checkpointed(priors.select("row_id", "k", log_or_inf(F.col("prior")).alias("log_prior")))
-    num, den = random_start(triplets, priors, seed)
+    num, den = start or random_start(triplets, priors, seed)
     theta, history, post = checkpointed(m_step_map(num, den, rates, weight)), [], None
     for _ in range(rounds):
         post = checkpointed(posteriors(triplets, theta, log_priors))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +21,11 @@ def multinomial(cumulative: str | Column, u: Column) -> Column:
     return F.when(F.size(c) > 0, F.least(F.size(F.filter(c, lambda x: x < u)), F.size(c) - 1))
 
 
-def binomial_rows(rows: DataFrame, rates: DataFrame, seed: int = 0) -> DataFrame:
+def binomial_rows(rows: DataFrame, rates: DataFrame, seed: int = 0, unit: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(row_id, col_id): column i is present in a row if its draw lies below rates (col_id, rate).
 
+    ``unit`` makes another draw out of row and column.
+
     The rates are one array per row of ``rows``; they are a model's parameters, not data, and at most a million are taken.
     """
     n = rates.count()
@@ -29,7 +33,8 @@ def binomial_rows(rows: DataFrame, rates: DataFrame, seed: int = 0) -> DataFrame
         raise ValueError("more than a million rates")
     packed = rates.agg(F.sort_array(F.collect_list(F.struct("col_id", "rate")))).scalar()
     each = rows.select("row_id", F.explode(packed).alias("x"))
-    return each.where(draw(F.col("row_id"), F.col("x.col_id"), seed=seed) < F.col("x.rate")).select("row_id", F.col("x.col_id").alias("col_id"))
+    u = unit(F.col("row_id"), F.col("x.col_id")) if unit else draw(F.col("row_id"), F.col("x.col_id"), seed=seed)
+    return each.where(u < F.col("x.rate")).select("row_id", F.col("x.col_id").alias("col_id"))
 
 
 def power_law(spark: SparkSession, high: float, low: float, n: int) -> DataFrame:

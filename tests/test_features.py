@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,10 +60,14 @@ def test_two_pass_round_trip(spark, tmp_path):
     assert got == {x.row_id: {*x.features} for x in r.collect()}
 
 
-@pytest.mark.parametrize("most,want", [(1, 19), (2, 19), (4, 19), (5, 10), (104, 10), (105, 9), (605, 8), (700, 8)])
-def test_histogram_cutoff(spark, most, want):
-    h = spark.createDataFrame([(20, 1), (19, 4), (10, 100), (9, 500)], "value int, n bigint")
-    assert X.histogram_cutoff(h, most).first()[0] == want
+@pytest.mark.parametrize("most", [0, 1, 3, 7, 8, 50, 51, 52, 1000])
+def test_histogram_cutoff(spark, most):
+    rng = random.Random(12)
+    counts = [rng.choice([2, 3, 5, 5, 8, 13, 40]) for _ in range(52)]
+    h = spark.createDataFrame([(v, counts.count(v)) for v in set(counts)], "value int, n bigint")
+    # the lowest cutoff that keeps no more than wanted, among the values and the one below the smallest
+    fits = [c for c in {*counts, min(counts) - 1} if sum(v > c for v in counts) <= most]
+    assert X.histogram_cutoff(h, most).first()[0] == min(fits)
 
 
 def test_empty_histogram(spark):

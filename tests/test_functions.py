@@ -8,6 +8,7 @@ from hashloom.functions import arrays as A
 from hashloom.functions import special as S
 from hashloom.functions.hashing import feature_hash, hash64, to_unit
 
+#: Hashes that ids must equal.
 GOLDEN = {
     "": 3992762020063000376, "a": -3986827505912633208, "b": 9041115770307277158, "ab": 4157034724278720815, "ba": 8300793842340226287,
     "AB": -7649582738128831073, "abcdefg": -1669074919591945955, "oogabooga": -2398617540296328547, "wakka": -1652022269149602802,
@@ -23,7 +24,7 @@ def test_golden_hashes(spark):
 
 
 def test_hash_halves_are_distinct():
-    halves = [x for s in ["oogabooga", "abcdefg", "a;lkdjfapdf", "", "a", "b", "ba", "ab", "AB"] for h in [hash64(s) & (2**64 - 1)] for x in (h >> 32, h & 0xFFFFFFFF)]
+    halves = [x for s in ["", "x", "y", "xy", "yx", "XY", "harbour", "a longer name, with signs;", "\u00fc"] for h in [hash64(s) & (2**64 - 1)] for x in (h >> 32, h & 0xFFFFFFFF)]
     assert len({*halves}) == 18 and 0xFFFFFFFF not in halves[::2]
 
 

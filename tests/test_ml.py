@@ -108,8 +108,11 @@ def test_dirichlet_fits_agree(spark):
     assert np.allclose(dirichlet.fit_leave_one_out(np.ones(3), dims, lengths), a, rtol=0.2)
     assert np.allclose(dirichlet.fit_histogram(np.ones(3), dims, lengths), a, rtol=0.2)
     p = df.select("row_id", "k", (F.col("n") / 200).alias("p"))
-    m = dirichlet.fit_moments([(r.mean, r.var) for r in dirichlet.moments(p).orderBy("k").collect()])
-    assert np.allclose(m, [2, 5, 1], rtol=0.4)
+    stats = [(r.mean, r.var) for r in dirichlet.moments(p).orderBy("k").collect()]
+    assert np.allclose(dirichlet.fit_moments_but_last(stats), [2, 5, 1], rtol=0.25)
+    # one factor too many for the divisor: 8 to the power 3 / 2
+    assert abs(dirichlet.fit_moments(stats).sum() - 8**1.5) < 0.2 * 8**1.5 and np.allclose(dirichlet.fit_moments(stats) / dirichlet.fit_moments(stats).sum(), [m for m, _ in stats])
+    assert np.isnan(dirichlet.fit_moments([(0.5, 0.0), (0.5, 0.9)])).all()
     flat = [_h([1, 2, 3, 4]), _h([2, 2, 3, 3])]
     assert dirichlet.fit_symmetric(flat, _h([3, 4, 6, 7]), 2.0) > 2
 
@@ -199,3 +202,29 @@ def test_lda_step_gives_every_word_of_every_topic(spark, monkeypatch):
     got = learning.lda_step(spark, "").collect()
     assert {(r.topic, r.col_id) for r in got} == {(t, w) for t in range(3) for w in range(15)}
     assert all(abs(sum(r.share for r in got if r.topic == t) - 1) < 1e-4 for t in range(3))
+
+
+def test_sizes_are_refused(spark, monkeypatch):
+    with pytest.raises(ValueError):
+        iterate.partial_sums(spark.range(3), (iterate.CELLS + 1,), lambda pdf, own: None)
+    with pytest.raises(ValueError):
+        lda.LdaModel.start(1000, lda.LIMIT // 1000 + 1, 5)
+    with pytest.raises(ValueError):
+        dirichlet.histograms(spark.createDataFrame([(1, 0, dirichlet.BINS + 5)], "row_id bigint, k int, n bigint"))
+    monkeypatch.setattr(logistic, "WEIGHTS", 2)
+    v = spark.createDataFrame([(1, [1, 2, 3], [1.0, 1.0, 1.0])], "row_id bigint, col_ids array<bigint>, vals array<double>")
+    with pytest.raises(ValueError):
+        logistic.sgd_averaged(v, spark.createDataFrame([(1, 1.0)], "row_id bigint, y double"), logistic.SgdUpdate(), [0.1])
+
+
+def test_capped_inference_is_reported(spark):
+    rng = np.random.default_rng(2)
+    v = spark.createDataFrame([(i, sorted({int(w) for w in rng.integers(0, 30, 9)})) for i in range(20)] + [(99, [])], "row_id bigint, col_ids array<bigint>")
+    m = lda.LdaModel.start(3, 30, 21, seed=1, tau0=1.0)
+    assert not any(r.converged for r in m.document_topics(v, cap=1).where("row_id < 99").collect())
+    assert m.learn(v, cap=1).unconverged >= 20 and m.learn(v).unconverged == 0
+
+
+def test_sgd_of_no_rows(spark):
+    v = spark.createDataFrame([], "row_id bigint, col_ids array<bigint>, vals array<double>")
+    assert logistic.sgd_averaged(v, spark.createDataFrame([], "row_id bigint, y double"), logistic.SgdUpdate(), [0.1]).count() == 0
