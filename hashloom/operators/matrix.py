@@ -174,11 +174,22 @@ class SparseMatrix:
 
     # storage
 
-    def save(self, path: str) -> None:
-        """vectors, dictionary and dims as Parquet."""
-        self.packed().write.mode("overwrite").parquet(f"{path}/vectors")
+    def save(self, path: str, part: Column | None = None) -> None:
+        """vectors by part, dictionary, dims and partition dims as Parquet.
+
+        ``part`` is an expression over row_id that gives the number of a row's part; by default as many parts as shuffle partitions, by hash.
+        """
+        spark = self.row_keys.sparkSession
+        number = F.pmod(F.xxhash64("row_id"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions")))) if part is None else part
+        self.packed().withColumn("part", number.cast("int")).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/vectors")
         self.dictionary.write.mode("overwrite").parquet(f"{path}/dictionary")
-        SparseMatrix.load(self.row_keys.sparkSession, path, dims=False).dims().write.mode("overwrite").parquet(f"{path}/dims")
+        written = spark.read.parquet(f"{path}/vectors")
+        parts = written.groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("col_ids").cast("bigint")).alias("nnz"))
+        parts.coalesce(1).write.mode("overwrite").parquet(f"{path}/partition_dims")  # one row per part
+        stored = spark.read.parquet(f"{path}/partition_dims")
+        columns = spark.read.parquet(f"{path}/dictionary").agg(F.count(F.lit(1))).scalar()
+        total = stored.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("nnz"), F.lit(0)).alias("nnz"))
+        total.select("n_rows", columns.alias("n_cols"), "nnz").write.mode("overwrite").parquet(f"{path}/dims")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, dims: bool = True) -> SparseMatrix:
@@ -187,4 +198,4 @@ class SparseMatrix:
         return cls(cells, vectors.select("row_id"), dictionary)
 
     def __repr__(self) -> str:
-        return f"SparseMatrix(rows: {self.row_keys.columns}, dictionary: {self.dictionary.columns})"
+        return f"SparseMatrix(row_keys{self.row_keys.columns}, triplets{self.triplets.columns}, dictionary{self.dictionary.columns}; dims() counts it)"

@@ -8,7 +8,7 @@ row starts, ids and float32 values of the cells.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -78,40 +78,87 @@ def decode_mixed(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return dense, starts, ids, values, n_sparse
 
 
-def write_vectors(vectors: DataFrame, folder: str, wide: bool = False, counts: bool = False) -> None:
-    """Packed vectors (row_id, col_ids [, vals]) as one binary part file per partition below ``folder``, which all executors share.
+def local_path(folder: str) -> str:
+    """The folder as Python's own file functions know it. Part files are written by Python, so it must be mounted on every executor."""
+    if folder.startswith("file:"):
+        return "/" + folder[5:].lstrip("/")
+    if "://" in folder:
+        raise ValueError(f"binary part files need a mounted folder, not {folder}")
+    return folder
+
 
-    A part is written under a name of its own attempt and then renamed, so that a task that runs again replaces its own part only.
-    """
-    os.makedirs(folder, exist_ok=True)
+def _write_parts(rows: DataFrame, folder: str, encode: Callable[[Iterator[pd.DataFrame]], Iterator[bytes]]) -> None:
+    """One file per partition, under a name of its attempt and then renamed, so that a task that runs again replaces its own part only."""
+    target = local_path(folder)
+    os.makedirs(target, exist_ok=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        part, tmp, n = task.partitionId(), f"{folder}/.part-{task.partitionId():05d}-{task.taskAttemptId()}", 0
+        part, tmp, n = task.partitionId(), f"{target}/.part-{task.partitionId():05d}-{task.taskAttemptId()}", 0
         with open(tmp, "wb") as f:
-            for pdf in batches:
-                n += len(pdf)
-                f.write(encode_counts(zip(pdf["col_ids"], pdf["vals"])) if counts else encode_vectors(iter(pdf["col_ids"]), wide))
-        os.replace(tmp, f"{folder}/part-{part:05d}")
-        yield pd.DataFrame({"part": [part], "rows": [n]})
+            for data in encode(batches):
+                n += f.write(data)
+        os.replace(tmp, f"{target}/part-{part:05d}")
+        yield pd.DataFrame({"part": [part], "bytes": [n]})
+
+    rows.mapInPandas(run, "part int, bytes bigint").collect()  # one row per part
 
-    vectors.select("col_ids", *(["vals"] if counts else [])).mapInPandas(run, "part int, rows bigint").collect()  # one row per part
+
+def write_vectors(vectors: DataFrame, folder: str, wide: bool = False, counts: bool = False) -> None:
+    """Packed vectors (row_id, col_ids [, vals]) as one binary part file per partition below ``folder``."""
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[bytes]:
+        for pdf in batches:
+            yield encode_counts(zip(pdf["col_ids"], pdf["vals"])) if counts else encode_vectors(iter(pdf["col_ids"]), wide)
+
+    _write_parts(vectors.select("col_ids", *(["vals"] if counts else [])), folder, encode)
 
 
 def read_vectors(spark: SparkSession, folder: str, wide: bool = False, counts: bool = False) -> DataFrame:
-    """(part, position, col_ids [, vals]): files are read whole and never split; a broken file is an error."""
+    """(part, position, col_ids [, vals]) of a folder, or of one part file; files are read whole and never split, a broken one is an error."""
+
+    def rows(part: int, data: bytes) -> pd.DataFrame:
+        if counts:
+            got = decode_counts(data)
+            return pd.DataFrame({"part": part, "position": range(len(got)), "col_ids": [r[0] for r in got], "vals": [r[1] for r in got]})
+        return pd.DataFrame({"part": part, "position": range(len(got := decode_vectors(data, wide))), "col_ids": got})
+
+    return _read_parts(spark, folder, rows, "part int, position bigint, col_ids array<bigint>" + (", vals array<double>" if counts else ""))
+
+
+def _read_parts(spark: SparkSession, folder: str, decode: Callable[[int, bytes], pd.DataFrame], schema: str) -> DataFrame:
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select(F.regexp_extract("path", r"part-(\d+)$", 1).cast("int").alias("part"), "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for part, data in zip(pdf["part"], pdf["content"]):
-                if counts:
-                    rows = decode_counts(data)
-                    yield pd.DataFrame({"part": part, "position": range(len(rows)), "col_ids": [r[0] for r in rows], "vals": [r[1] for r in rows]})
-                else:
-                    rows = decode_vectors(data, wide)
-                    yield pd.DataFrame({"part": part, "position": range(len(rows)), "col_ids": rows})
-
-    return raw.mapInPandas(run, "part int, position bigint, col_ids array<bigint>" + (", vals array<double>" if counts else ""))
+            yield from (decode(part, data) for part, data in zip(pdf["part"], pdf["content"]))
+
+    return raw.mapInPandas(run, schema)
+
+
+def write_mixed(rows: DataFrame, folder: str, n_dense: int, n_sparse: int) -> None:
+    """Mixed rows (dense ARRAY<DOUBLE>, col_ids, vals) as one matrix file per partition; row ids aren't written, null arrays count as empty."""
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[bytes]:
+        own = [p for p in batches if len(p)]
+        whole = pd.concat(own) if own else pd.DataFrame({"dense": [], "col_ids": [], "vals": []})
+        array = lambda x, kind: np.asarray(x if x is not None else (), dtype=kind)
+        ids, vals = ([array(x, kind) for x in whole[c]] for c, kind in (("col_ids", np.int64), ("vals", float)))
+        dense = np.array([array(x, float) for x in whole["dense"]]).reshape(len(whole), n_dense)
+        starts = np.cumsum([0, *map(len, ids)])
+        yield encode_mixed(dense, starts, np.concatenate([*ids, np.empty(0, np.int64)]), np.concatenate([*vals, np.empty(0)]), n_sparse)
+
+    _write_parts(rows.select("dense", "col_ids", "vals"), folder, encode)
+
+
+def read_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """(part, position, dense, col_ids, vals) of the matrix files of a folder, or of one file."""
+
+    def rows(part: int, data: bytes) -> pd.DataFrame:
+        dense, starts, ids, values, _ = decode_mixed(data)
+        cut = lambda x: [x[a:b] for a, b in zip(starts, starts[1:])]
+        return pd.DataFrame({"part": part, "position": range(len(dense)), "dense": list(dense), "col_ids": cut(ids), "vals": cut(values)})
+
+    return _read_parts(spark, folder, rows, "part int, position bigint, dense array<double>, col_ids array<bigint>, vals array<double>")

@@ -188,3 +188,57 @@ def test_fileset(spark, tmp_path):
     fileset.write_enumeration(d, str(tmp_path / "e"))
     assert [r.value for r in spark.read.text(str(tmp_path / "e")).collect()] == ["x|OR|y", "z"]
     assert fileset.part_paths("r", 3)["vectors"] == "r/vectors.bin.parts/part-00003"
+
+
+def test_saved_matrix_loads_within_a_budget(spark, tmp_path):
+    t = spark.createDataFrame([(r, c, 1.0) for r in range(40) for c in range(r % 5)], "row_id bigint, col_id bigint, value double")
+    m = SparseMatrix.from_triplets(t, spark.range(40).withColumnRenamed("id", "row_id"))
+    path = str(tmp_path / "m")
+    m.save(path, F.pmod("row_id", F.lit(4)))
+    assert tuple(SparseMatrix.load(spark, path).dims().first()) == tuple(m.dims().first()) == tuple(spark.read.parquet(f"{path}/dims").first())
+    base = 4 * (2 + 16)  # names 0 to 3
+    dims = {r.part: (r.n_rows, r.nnz) for r in spark.read.parquet(f"{path}/partition_dims").collect()}
+    for n in range(5):
+        room = base + sum(sum(dims[p]) * 4 for p in range(n)) + 1
+        got = fileset.load_limited(spark, path, room)
+        assert {r.row_id for r in got.row_keys.collect()} == {r for r in range(40) if r % 4 < n}
+        assert got.triplets.count() == sum(dims[p][1] for p in range(n))
+    spark.createDataFrame([(0, 10, 3)], "part int, n_rows bigint, nnz bigint").write.mode("overwrite").parquet(f"{path}/partition_dims")
+    with pytest.raises(ValueError):
+        fileset.load_limited(spark, path)
+
+
+def test_conversion_of_sets_and_dims_as_text(spark, tmp_path):
+    v = spark.createDataFrame([(0, 1, [7, 9, 7, None]), (0, 2, []), (1, 3, [9, 100]), (1, 4, None)], "part int, row_id bigint, hashes array<bigint>").withColumn("hash", F.lit("x"))
+    mapping = spark.createDataFrame([("a", 7), ("b", 9), ("c", 9), ("q", 100)], "feature string, hash bigint")
+    ids = fileset.kept_ids(v, 0.4, mapping, F.col("feature") == "q")
+    assert {r.hash: r.col_id for r in ids.collect()} == {9: 0, 100: 1}
+    out, dims = fileset.converted(v, ids)
+    assert {r.row_id: r.col_ids for r in out.collect()} == {1: [0], 2: [], 3: [0, 1], 4: []}
+    assert sorted(map(tuple, dims.collect())) == [(0, 2, 2, 1), (1, 2, 2, 2)]
+    assert {r.col_id: r.name for r in fileset.remapped_dictionary(mapping.where("feature <> 'q'"), ids).collect()} == {0: "b|OR|c", 1: None}
+    total = dims.agg(F.sum("n_rows").alias("n_rows"), F.max("n_cols").alias("n_cols"), F.sum("nnz").alias("nnz"))
+    fileset.write_dims(total, dims, str(tmp_path / "dims"))
+    one, two = fileset.read_dims(spark, str(tmp_path / "dims"))
+    assert tuple(one.first()) == (4, 2, 3) and sorted(map(tuple, two.collect())) == [(0, 2, 1), (1, 2, 2)]
+    assert fileset.converted(v.limit(0), ids)[1].count() == 0
+
+
+def test_mixed_files_and_file_sets(spark, tmp_path):
+    rows = [(i, [float(i), 0.5], list(range(i % 3)), [1.5] * (i % 3)) for i in range(12)]
+    df = spark.createDataFrame(rows, "row_id bigint, dense array<double>, col_ids array<bigint>, vals array<double>").repartitionByRange(3, "row_id").sortWithinPartitions("row_id")
+    legacy.write_mixed(df, f"file://{tmp_path}/x", 2, 5)
+    back = sorted(legacy.read_mixed(spark, f"{tmp_path}/x").collect(), key=lambda r: (r.part, r.position))
+    assert [(r.dense, r.col_ids, r.vals) for r in back] == [tuple(r[1:]) for r in rows]
+    one = legacy.read_mixed(spark, f"{tmp_path}/x/part-00001").collect()
+    assert {r.part for r in one} == {1}
+    legacy.write_mixed(df.limit(0), f"{tmp_path}/none", 2, 5)
+    assert legacy.read_mixed(spark, f"{tmp_path}/none").count() == 0
+    files = fileset.FileSet(str(tmp_path / "set"))
+    assert files.numbers(spark) == []
+    legacy.write_vectors(df, f"{files.root}/{fileset.PARTS[0]}", wide=True)
+    assert files.numbers(spark) == [0, 1, 2] and files.part(2)["vectors"].endswith("part-00002")
+    assert files.vectors(spark).count() == 12 and 0 < files.vectors(spark, first=2).count() < 12
+    assert files.merged_dims.endswith("mergedDims.txt") and files.merged_dictionary.startswith(files.root)
+    with pytest.raises(ValueError):
+        legacy.local_path("s3a://x/y")
