@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import enum
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from hashloom.functions import arrays as A
 from hashloom.functions.hashing import md5_hash
-from hashloom.functions.special import digamma_udf, log_gamma_udf
+from hashloom.functions.special import digamma_udf, log_gamma_udf, trigamma_udf
 from hashloom.ml import samplers
-from hashloom.ml.iterate import array_sums
+from hashloom.ml.iterate import array_sums, run
 from hashloom.operators import featurize as X
 from hashloom.operators.compare import compare, report, top_tests
 from hashloom.operators.mixed import BlockedMatrix, FeatureSet, MixedMatrix, minibatches, quantiles
@@ -181,9 +182,10 @@ def power_law_rates(spark, d):
 
 
 def binomial_draws(spark, d):
-    """Rows over the orders' keys, column i present with rate_i: how often each column came."""
+    """Rows over the orders' keys, column i present with rate_i by the md5 of key and column: how often each column came."""
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"))
-    return samplers.binomial_rows(rows, samplers.power_law(spark, 0.5, 0.01, 10), 3).groupBy("col_id").agg(F.count(F.lit(1)).alias("n"))
+    unit = lambda r, c: md5_hash(F.concat_ws(",", r.cast("string"), c.cast("string"))) / F.lit(float(1 << 60))
+    return samplers.binomial_rows(rows, samplers.power_law(spark, 0.5, 0.01, 10), unit=unit).groupBy("col_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def multinomial_draws(spark, d):
@@ -205,12 +207,60 @@ def special_digamma(spark, d):
     return q.select("z", F.round(digamma_udf(F.col("z") + 1) - digamma_udf("z"), 6).alias("rise"))
 
 
+def special_trigamma(spark, d):
+    """trigamma(z) - trigamma(z + 1), which is 1 / z^2."""
+    q = table(spark, d, "lineitem").select((F.col("l_quantity") / 4).alias("z")).distinct()
+    return q.select("z", F.round(trigamma_udf("z") - trigamma_udf(F.col("z") + 1), 6).alias("fall"))
+
+
+def array_normalize(spark, d):
+    """Absolute values of the embeddings divided by their sum: the first one, and their sum."""
+    p = A.normalize(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+    return table(spark, d, "embeddings").select("vec_id", F.round(F.get(p, F.lit(0)), 6).alias("first"), F.round(A.array_sum(p), 6).alias("total"))
+
+
+def parallel_sort(spark, d):
+    """The elements of each embedding in ascending order, with the places they came from: the three smallest."""
+    places = F.sequence(F.lit(0), F.size("embedding") - 1)
+    x = A.sort_parallel(F.transform("embedding", lambda v: F.round(v.cast("double"), 6)), places)
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice(x, 1, 3)).alias("k", "x")).select("vec_id", "k", F.col("x.value").alias("idx"), F.col("x.key").alias("value"))
+
+
+def enum_updated(spark, d):
+    """Users' counts by event type after errors were set to 0 where there are more than 3 views."""
+    events = table(spark, d, "events").select(F.col("user_id").alias("row_id"), F.concat(F.lit("Event_"), "event_type").alias("name"), F.lit(1.0).alias("one"))
+    dense = EVENTS.updated(EVENTS.from_long(events, "row_id", "name", "one"), Event.error, F.lit(0), EVENTS[Event.view] > 3)
+    return dense.select("row_id", *[F.col(c).cast("bigint").alias(c.lower()) for c in EVENTS.columns()])
+
+
+class _Damped:
+    """Sums of the embeddings' elements, each divided by 1 and the absolute sum of the round before."""
+
+    def start(self):
+        return np.zeros(64)
+
+    def add(self, batch, into, state):
+        for e in batch["embedding"]:
+            x = np.asarray(e, dtype=float)
+            into[: len(x)] += x / (1 + np.abs(state[: len(x)]))
+
+    def end(self, iteration, sums):
+        return False
+
+
+def iterate_run(spark, d):
+    """Three rounds of an accumulating algorithm over the embeddings."""
+    sums, _ = run(table(spark, d, "embeddings").select("embedding"), _Damped(), 3)
+    return spark.createDataFrame([(i, round(float(x), 4)) for i, x in enumerate(sums)], "i int, x double")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         mixed_colsums, dense_sumsq, mixed_get_column, row_filter, subset_of_subset, subset_positions, enum_slice, blocks, block_filter,
         welch_t, ratio_of_rates, compare_top, compare_report, quantile_values, log_normalize, cumsum, axpy, array_top, accumulate,
-        minibatch, power_law_rates, binomial_draws, multinomial_draws, special_fn, special_digamma,
+        minibatch, power_law_rates, binomial_draws, multinomial_draws, special_fn, special_digamma, special_trigamma, array_normalize,
+        parallel_sort, enum_updated, iterate_run,
     )
 }
 
@@ -263,6 +313,14 @@ ORACLE = {
     "power_law_rates": "SELECT i AS col_id, round(0.5::DOUBLE * pow(0.00001::DOUBLE / 0.5::DOUBLE, i / 99.0::DOUBLE), 9) AS rate FROM range(100) t(i)",
     "multinomial_draws": """SELECT CAST(CASE WHEN u <= 0.6 THEN 0 WHEN u <= 0.8 THEN 1 ELSE 2 END AS INTEGER) AS k, count(*) AS n
         FROM (SELECT ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15))::BIGINT / 1152921504606846976.0 AS u FROM orders) GROUP BY 1""",
+    "binomial_draws": """SELECT CAST(c AS BIGINT) AS col_id, count(*) AS n FROM orders, range(10) t(c)
+        WHERE ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || ',' || CAST(c AS VARCHAR)), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE < 0.5::DOUBLE * pow(0.01::DOUBLE / 0.5::DOUBLE, c / 9.0::DOUBLE) GROUP BY 1""",
+    "special_trigamma": "SELECT DISTINCT l_quantity / 4 AS z, round(16 / (l_quantity * l_quantity), 6) AS fall FROM lineitem",
+    "array_normalize": f"WITH {_E}, s AS (SELECT vec_id, sum(abs(x)) AS s FROM e GROUP BY 1) SELECT vec_id, round(abs(x) / s, 6) AS first, 1.0::DOUBLE AS total FROM e JOIN s USING (vec_id) WHERE i = 0",
+    "parallel_sort": f"WITH {_E} SELECT vec_id, CAST(k AS INTEGER) AS k, CAST(i AS INTEGER) AS idx, x AS value FROM (SELECT vec_id, i, round(x, 6) AS x, row_number() OVER (PARTITION BY vec_id ORDER BY round(x, 6), i) - 1 AS k FROM e) WHERE k < 3",
+    "enum_updated": "SELECT user_id AS row_id, " + ", ".join(f"count(*) FILTER (event_type = '{e.name}')" + (" * CASE WHEN count(*) FILTER (event_type = 'view') > 3 THEN 0 ELSE 1 END" if e is Event.error else "") + f" AS event_{e.name}" for e in Event) + " FROM events GROUP BY 1",
+    "iterate_run": f"""WITH {_E}, i64 AS (SELECT range AS i FROM range(64)), a AS (SELECT i, sum(x) AS s FROM e GROUP BY 1)
+        SELECT CAST(i64.i AS INTEGER) AS i, round(coalesce(s / (1 + abs(s / (1 + abs(s)))), 0), 4) AS x FROM i64 LEFT JOIN a ON a.i = i64.i""",
     "special_fn": "SELECT DISTINCT l_quantity / 4 AS z, round(lgamma(l_quantity / 4), 6) AS log_gamma FROM lineitem",
     "special_digamma": "SELECT DISTINCT l_quantity / 4 AS z, round(4 / l_quantity, 6) AS rise FROM lineitem",
 }
