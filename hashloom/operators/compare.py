@@ -66,4 +66,4 @@ def top_tests(tests: DataFrame, k: int = 50) -> DataFrame:
 
 def report(ranked: DataFrame) -> DataFrame:
     """(test, rank, line): numbered lines, best first."""
-    return ranked.select("test", "rank", F.format_string("%d. %s: %s", F.col("rank"), F.col("col"), F.round("score", 6).cast("string")).alias("line"))
+    return ranked.select("test", "rank", F.format_string("%d. %s: %.6f", F.col("rank"), F.col("col"), F.round("score", 6)).alias("line"))

@@ -135,7 +135,7 @@ def compare_top(spark, d):
 
 def compare_report(spark, d):
     """The same as numbered lines."""
-    return report(top_tests(_token_tests(spark, d).withColumn("score", F.round("score", 6)))).select("test", F.col("rank").cast("bigint").alias("rank"), F.regexp_extract("line", r"^(\d+\. [^:]+)", 1).alias("head"))
+    return report(top_tests(_token_tests(spark, d).withColumn("score", F.round("score", 6)))).select("test", F.col("rank").cast("bigint").alias("rank"), "line")
 
 
 def quantile_values(spark, d):
@@ -301,7 +301,7 @@ ORACLE = {
         n AS (SELECT CAST(count(*) FILTER (l_returnflag = 'R') AS DOUBLE) AS tn, CAST(count(*) FILTER (l_returnflag = 'A') AS DOUBLE) AS rn FROM l)
         SELECT col, {_RATIO} AS score FROM (SELECT col, CAST(count(*) FILTER (l_returnflag = 'R') AS DOUBLE) AS tc, CAST(count(*) FILTER (l_returnflag = 'A') AS DOUBLE) AS rc FROM x GROUP BY col), n""",
     "compare_top": f"WITH {_TOKENS} SELECT col, score, rank FROM k WHERE rank <= 50",
-    "compare_report": f"WITH {_TOKENS} SELECT 'ratio' AS test, rank, rank || '. ' || col AS head FROM k WHERE rank <= 50",
+    "compare_report": f"WITH {_TOKENS} SELECT 'ratio' AS test, rank, printf('%d. %s: %.6f', rank, col, score) AS line FROM k WHERE rank <= 50",
     "quantile_values": "WITH v AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL), q(q) AS (VALUES " + ", ".join(f"({q}::DOUBLE)" for q in QS) + ") SELECT q, value FROM q JOIN v ON i = CAST(floor(least(q * n, n - 1)) AS BIGINT)",
     "log_normalize": f"""WITH {_E}, m AS (SELECT vec_id, max(x) AS m FROM e GROUP BY 1), z AS (SELECT vec_id, m + ln(sum(exp(x - m))) AS z, m FROM e JOIN m USING (vec_id) GROUP BY vec_id, m)
         SELECT vec_id, round(z, 6) AS log_norm, round(exp(m - z), 6) AS top, 1.0::DOUBLE AS total FROM z""",

@@ -178,18 +178,16 @@ def test_stream_batches(spark, tmp_path):
 
 
 def test_nb_em_runs_until_it_converges(spark, monkeypatch):
-    from types import SimpleNamespace
-
     from hashloom.plans import learning
 
     seen = []
 
-    def em(triplets, priors, weight=1.0, rounds=100, min_gain=1e-10, seed=0):
+    def em(triplets, priors, weight=1.0, rounds=100, min_gain=1e-10, seed=0, start=None):
         seen.append((rounds, min_gain))
         return None, spark.createDataFrame([(1, 1, 0.5)], "row_id bigint, k int, post double"), []
 
     monkeypatch.setattr(learning.naive_bayes, "em", em)
-    monkeypatch.setattr(learning, "_matrix", lambda *_: SimpleNamespace(triplets=None))
+    monkeypatch.setattr(learning, "_first_round", lambda *_: (None, None, None))
     monkeypatch.setattr(learning, "_priors", lambda *_: None)
     assert learning.nb_em(spark, "").count() == 1 and seen == [(100, 1e-10)]
 
