@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hashloom.operators.skew import sized_join
 from hashloom.session import checkpointed
 
 _PAIRS = "a bigint, b bigint, n bigint"
@@ -158,27 +159,38 @@ class PairTable:
             fs.delete(jvm.org.apache.hadoop.fs.Path(root, n), True)
         return gone
 
-    def scores(self, least: int = 1, share: float = 0.0, pairs: DataFrame | None = None) -> DataFrame:
-        """(a, b, n, n_a, n_b, baskets, lift, pmi, npmi) of pairs in at least ``least`` baskets and a ``share`` of all baskets.
+    def _with_margins(self, pairs: DataFrame, items: DataFrame) -> DataFrame:
+        """``pairs`` with the columns of ``items`` (item, n, ...) of both of its items; the item table is sent to the executors if its counted size allows."""
+        for side in ("a", "b"):
+            own = items.select(F.col("item").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in items.columns if c != "item"])
+            pairs = sized_join(pairs, own, side)
+        return pairs
 
-        lift is n baskets / (n_a n_b), pmi its logarithm, npmi the pmi divided by -ln(n / baskets): 1 for items that only come
-        together (also where both are in every basket), 0 for independence.
-        """
+    def _scored(self, found: DataFrame) -> DataFrame:
         total = float(self.baskets)
-        found = (self.pairs() if pairs is None else pairs).where((F.col("n") >= least) & (F.col("n") >= F.lit(share) * total))
-        items = self.items()
-        one, two = items.select(F.col("item").alias("a"), F.col("n").alias("n_a")), items.select(F.col("item").alias("b"), F.col("n").alias("n_b"))
-        x = found.join(one, "a").join(two, "b").withColumn("lift", F.col("n") * total / (F.col("n_a") * F.col("n_b").cast("double")))
+        x = found.withColumn("lift", F.col("n") * total / (F.col("n_a") * F.col("n_b").cast("double")))
         pmi = F.log(F.col("lift"))
         npmi = F.when(F.col("n") >= total, F.lit(1.0)).otherwise(F.try_divide(pmi, -F.log(F.col("n") / total)))
         return x.select("a", "b", "n", "n_a", "n_b", F.lit(self.baskets).cast("bigint").alias("baskets"), "lift", pmi.alias("pmi"), npmi.alias("npmi"))
 
+    def _enough(self, least: int, share: float):
+        return (F.col("n") >= least) & (F.col("n") >= F.lit(share) * float(self.baskets))
+
+    def scores(self, least: int = 1, share: float = 0.0) -> DataFrame:
+        """(a, b, n, n_a, n_b, baskets, lift, pmi, npmi) of pairs in at least ``least`` baskets and a ``share`` of all baskets.
+
+        lift is n baskets / (n_a n_b), pmi its logarithm, npmi the pmi divided by -ln(n / baskets): 1 for items that only come
+        together (also where both are in every basket), 0 for independence.
+        """
+        return self._scored(self._with_margins(self.pairs().where(self._enough(least, share)), self.items()))
+
     def affected_scores(self, least: int = 1, share: float = 0.0) -> DataFrame:
         """The scores of pairs whose own count, or the count of one of whose items, the last ``apply`` of this object changed."""
         if self._touched_items is None:
             return self.scores(least, share).limit(0)
-        touched = self._touched_items.select(F.col("item").alias("t"))
-        pairs = self.pairs()
-        own = pairs.join(self._touched_pairs.select("a", "b"), ["a", "b"], "left_semi")  # counts may move where both items' counts stay
-        hit = own.unionByName(pairs.join(touched, pairs.a == touched.t, "left_semi")).unionByName(pairs.join(touched, pairs.b == touched.t, "left_semi"))
-        return self.scores(least, share, hit.distinct())
+        touched = self._touched_items.select("item", F.lit(True).alias("t"))
+        items = checkpointed(self.items().join(touched, "item", "left"))  # one row per item
+        met = self._with_margins(self.pairs().where(self._enough(least, share)), items)
+        by_item = F.coalesce(F.col("t_a"), F.lit(False)) | F.coalesce(F.col("t_b"), F.lit(False))
+        own = met.where(~by_item).join(self._touched_pairs.select("a", "b"), ["a", "b"], "left_semi")  # counts may move where both items' counts stay
+        return self._scored(met.where(by_item).unionByName(own))

@@ -105,10 +105,10 @@ def p5_after_changes(spark: SparkSession, d: str) -> DataFrame:
     """
     blocks = table(spark, d, "matrix_blocks")
     late = _late_blocks(blocks)
-    whole = matrix_records(blocks.join(late, "block_id", "left_anti")).unionByName(matrix_records(blocks.join(late, "block_id", "left_semi")))
+    early, late = (checkpointed(matrix_records(blocks.join(late, "block_id", how))) for how in ("left_anti", "left_semi"))
     half = F.slice("cols", 1, F.ceil(F.size("cols") / 2).cast("int"))
-    before = matrix_records(blocks.join(late, "block_id", "left_anti")).unionByName(matrix_records(blocks.join(late, "block_id", "left_semi")).select("row_id", half.alias("cols")))
-    after = whole.join(table(spark, d, "probe_rows").select("row_id").distinct(), "row_id", "left_anti")
+    before = early.unionByName(late.select("row_id", half.alias("cols")))
+    after = early.unionByName(late).join(table(spark, d, "probe_rows").select("row_id").distinct(), "row_id", "left_anti")
     pairs = PairTable(spark, scratch_path(spark, "pairs"))
     pairs.apply(before.select(F.col("cols").alias("items"), F.lit(1).cast("bigint").alias("sign")), load_id="before")
     pairs.apply(basket_changes(before, after, "row_id", "cols"), "cols", load_id="changes")
