@@ -76,8 +76,8 @@ class LdaModel:
                 return gamma, phi, True
         return gamma, phi, False
 
-    def document_bound(self, words: np.ndarray, log_beta: np.ndarray) -> float:
-        gamma = self.infer(words, log_beta)[0]
+    def document_bound(self, words: np.ndarray, log_beta: np.ndarray, cap: int = CAP) -> float:
+        gamma = self.infer(words, log_beta, cap)[0]
         log_theta = digamma(gamma) - digamma(gamma.sum())
         score = 0.0
         if len(words):
@@ -158,11 +158,11 @@ class LdaModel:
 
         return self._over(vectors, each, f"row_id {vectors.schema['row_id'].dataType.simpleString()}, gamma array<double>, converged boolean")
 
-    def bound(self, vectors: DataFrame) -> float:
+    def bound(self, vectors: DataFrame, cap: int = CAP) -> float:
         """The evidence lower bound, the documents' part scaled to the corpus."""
 
         def each(model, log_beta, b, docs):
-            yield pa.RecordBatch.from_arrays([pa.array([sum(model.document_bound(d, log_beta) for d in docs)]), pa.array([len(docs)])], names=["s", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([sum(model.document_bound(d, log_beta, cap) for d in docs)]), pa.array([len(docs)])], names=["s", "n"])
 
         r = self._over(vectors, each, "s double, n bigint").agg(F.sum("s"), F.sum("n")).first()
         return (r[0] * self.corpus_size / r[1] if r[1] else 0.0) + self.model_bound()

@@ -77,7 +77,7 @@ class SparseMatrix:
         """Columns ``cols`` (col_id) only, enumerated anew from 0 in the same order; rows stay, empty ones too. Unknown ids are ignored."""
         kept = self.dictionary.join(cols.select("col_id").distinct(), "col_id", "left_semi")
         again = enumerate_hashes(kept.withColumnRenamed("col_id", "old_col"))
-        cells = self.triplets.join(again.select(F.col("old_col").alias("col_id"), F.col("col_id").alias("new_col")), "col_id").select("row_id", F.col("new_col").alias("col_id"), "value")
+        cells = sized_join(self.triplets, again.select(F.col("old_col").alias("col_id"), F.col("col_id").alias("new_col")), "col_id").select("row_id", F.col("new_col").alias("col_id"), "value")
         return SparseMatrix(cells, self.row_keys, again.drop("old_col"))
 
     def subset_by_feature(self, predicate: Column) -> SparseMatrix:
@@ -149,7 +149,7 @@ class SparseMatrix:
         Rows are cut down to the given columns before they meet themselves, and each unordered pair is counted once.
         """
         chosen = cols.select("col_id").distinct()
-        cells = self.triplets.select("row_id", "col_id").join(chosen, "col_id", "left_semi").groupBy("row_id").agg(F.sort_array(F.collect_set("col_id")).alias("c"))
+        cells = sized_join(self.triplets.select("row_id", "col_id"), chosen, "col_id", "left_semi").groupBy("row_id").agg(F.sort_array(F.collect_set("col_id")).alias("c"))
         a = cells.select("c", F.posexplode("c").alias("i", "col_a"))
         pairs = a.select("col_a", F.explode(F.slice("c", F.col("i") + 1, F.size("c"))).alias("col_b")).groupBy("col_a", "col_b").agg(F.count(F.lit(1)).alias("n"))
         both = pairs.unionByName(pairs.where("col_a <> col_b").select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "n"))

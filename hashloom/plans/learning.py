@@ -134,6 +134,12 @@ def lda_even_step(spark, d):
     return spark.createDataFrame([(t, w, round(float(x), 6)) for t, row in enumerate(share) for w, x in enumerate(row)], "topic int, col_id bigint, share double")
 
 
+def lda_even_bound(spark, d):
+    """The bound at the start, with LDA_ROUNDS rounds of inference, and the model's part of it."""
+    model, vectors = _lda_even(spark, d)
+    return spark.createDataFrame([(round(model.bound(vectors, LDA_ROUNDS), 2), round(model.model_bound(), 2))], "bound double, model double")
+
+
 def lda_even_topics(spark, d):
     """The topic parameters of every document by the start, after LDA_ROUNDS rounds."""
     model, vectors = _lda_even(spark, d)
@@ -233,7 +239,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         nb_m_step_ml, nb_m_step_map, nb_posterior, nb_top, nb_em, lr_gradient, lr_ridge, lr_lasso, lr_sgd, lr_sgd_sequence, lda_step, lda_infer,
-        lda_elbo, lda_even_step, lda_even_topics, dirichlet_moments, dirichlet_fit, dirichlet_rounds, dirichlet_moment_fit, dirichlet_ratio,
+        lda_elbo, lda_even_step, lda_even_topics, lda_even_bound, dirichlet_moments, dirichlet_fit, dirichlet_rounds, dirichlet_moment_fit, dirichlet_ratio,
     )
 }
 
@@ -288,7 +294,9 @@ _LENGTHS = r"""t AS (SELECT doc_id, CASE WHEN n <= 3 THEN 0 WHEN n <= 7 THEN 1 E
     c AS (SELECT doc_id, k, count(*) AS n FROM t GROUP BY 1, 2)"""
 
 
-def _fit_sql() -> str:
+def _fit_sql(rounds: int, plain: int) -> str:
+    """``rounds`` of the ways that stop when they stand still, ``plain`` of those with a number of rounds."""
+    many = {"ml": rounds, "loo": rounds, "pri": plain}
     rise = lambda x, w: f"(SELECT sum(m / ({x} + i)) FROM {w})"
     loo = lambda x, w: f"(SELECT sum(m * n / (n - 1 + {x})) FROM {w})"
     total, ks = "(a0 + a1 + a2)", range(3)
@@ -301,11 +309,11 @@ def _fit_sql() -> str:
     hist += ["hl AS MATERIALIZED (SELECT n, count(*) AS m FROM (SELECT sum(n) AS n FROM c GROUP BY doc_id) GROUP BY 1)", "hp AS MATERIALIZED (SELECT n, sum(m) AS m FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY 1)"]
     # m of i: how many observations are above i
     rises = [f"r{x} AS MATERIALIZED (SELECT i, sum(m)::DOUBLE AS m FROM h{x}, LATERAL (SELECT unnest(range(CAST(n AS BIGINT))) AS i) GROUP BY 1)" for x in (*ks, "l", "p")]
-    steps = [f"{w} AS (SELECT 0 AS it, 1.0::DOUBLE AS a0, 1.0::DOUBLE AS a1, 1.0::DOUBLE AS a2 UNION ALL SELECT it + 1, {', '.join(e)} FROM {w} WHERE it < {FIT_ROUNDS})" for w, e in ways.items()]
-    steps.append(f"sym AS (SELECT 0 AS it, 3.0::DOUBLE AS a UNION ALL SELECT it + 1, a * {rise('a / 3', 'rp')} / (3 * {rise('a', 'rl')}) FROM sym WHERE it < {FIT_ROUNDS})")
+    steps = [f"{w} AS (SELECT 0 AS it, 1.0::DOUBLE AS a0, 1.0::DOUBLE AS a1, 1.0::DOUBLE AS a2 UNION ALL SELECT it + 1, {', '.join(e)} FROM {w} WHERE it < {many[w]})" for w, e in ways.items()]
+    steps.append(f"sym AS (SELECT 0 AS it, 3.0::DOUBLE AS a UNION ALL SELECT it + 1, a * {rise('a / 3', 'rp')} / (3 * {rise('a', 'rl')}) FROM sym WHERE it < {plain})")
     names = {"digamma": "ml", "histogram": "ml", "leave_one_out": "loo", "prior": "pri"}
-    rows = [f"SELECT '{n}' AS way, {k} AS k, round(a{k}, 4) AS alpha FROM {w} WHERE it = {FIT_ROUNDS}" for n, w in names.items() for k in ks]
-    return f"WITH RECURSIVE {_LENGTHS}, {', '.join([*hist, *rises, *steps])} {' UNION ALL '.join(rows)} UNION ALL SELECT 'symmetric', 0, round(a, 4) FROM sym WHERE it = {FIT_ROUNDS}"
+    rows = [f"SELECT '{n}' AS way, {k} AS k, round(a{k}, 4) AS alpha FROM {w} WHERE it = {many[w]}" for n, w in names.items() for k in ks]
+    return f"WITH RECURSIVE {_LENGTHS}, {', '.join([*hist, *rises, *steps])} {' UNION ALL '.join(rows)} UNION ALL SELECT 'symmetric', 0, round(a, 4) FROM sym WHERE it = {plain}"
 
 
 _SGD = f"""WITH RECURSIVE {_SEL},
@@ -325,7 +333,14 @@ ORACLE = {
         nl AS (SELECT t, col_id, (1 - r) * l + r * (0.01 + coalesce(s, 0)) AS l FROM lam LEFT JOIN st USING (t, col_id), rho)
         SELECT t AS topic, col_id, round(l / sum(l) OVER (PARTITION BY t), 6) AS share FROM nl""",
     "lda_even_topics": f"{_lda_sql()} SELECT row_id, t AS topic, round(g, 4) AS gamma FROM gamma{LDA_ROUNDS}",
-    "dirichlet_rounds": _fit_sql(),
+    "dirichlet_fit": _fit_sql(1000, 200),
+    "lda_even_bound": f"""{_lda_sql()}, k AS (SELECT 0.1::DOUBLE AS a, 0.01::DOUBLE AS e, (SELECT count(*) FROM se) AS w),
+        gt AS (SELECT row_id, t, g, {_psi('g')} - {_psi('tot')} AS lt, tot FROM gamma{LDA_ROUNDS} JOIN (SELECT row_id, sum(g) AS tot FROM gamma{LDA_ROUNDS} GROUP BY 1) USING (row_id)),
+        words AS (SELECT sum(ln(x)) AS s FROM (SELECT sum(exp(lb + lt)) AS x FROM b JOIN gt USING (row_id) JOIN lb USING (col_id, t) GROUP BY row_id, col_id)),
+        docs AS (SELECT sum((a - g) * lt + lgamma(g) - lgamma(a)) AS s FROM gt, k), ends AS (SELECT sum(lgamma(a * 3) - lgamma(tot)) AS s FROM (SELECT DISTINCT row_id, tot FROM gt), k),
+        model AS (SELECT (SELECT sum((e - l) * lb + lgamma(l) - lgamma(e)) FROM lam JOIN lb USING (t, col_id), k) + (SELECT 3 * lgamma(e * w) FROM k) - (SELECT sum(lgamma(x)) FROM (SELECT sum(l) AS x FROM lam GROUP BY t)) AS m)
+        SELECT round(words.s + docs.s + ends.s + m, 2) AS bound, round(m, 2) AS model FROM words, docs, ends, model""",
+    "dirichlet_rounds": _fit_sql(FIT_ROUNDS, FIT_ROUNDS),
     "dirichlet_moment_fit": f"""WITH {_LENGTHS}, p AS (SELECT doc_id, v.k AS k, coalesce(n, 0)::DOUBLE / sum(coalesce(n, 0)) OVER (PARTITION BY doc_id) AS p
             FROM (SELECT DISTINCT doc_id FROM t) CROSS JOIN (VALUES (0), (1), (2)) v(k) LEFT JOIN c USING (doc_id, k)),
         m AS (SELECT k, avg(p) AS m, var_samp(p) AS v FROM p GROUP BY 1), g AS (SELECT exp(sum(ln(m * (1 - m) / v - 1)) / 2) AS g FROM m WHERE m > 0)
