@@ -255,3 +255,14 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(1, "a", "hello world"), (2, None, None), (3, "b", ""), (4, "b", "x" * 20000)], "doc_id bigint, source string, text string")
     got = {r.doc_id: r.tokens for r in mixing.token_counts(df).collect()}
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 100
+
+
+def test_garbled_tables_without_texts_or_languages(spark):
+    schema = "doc_id bigint, text string, lang string"
+    for rows in ([], [(1, None, None), (2, "", "en"), (None, None, "xx")], [(i, SENTENCES["fr"][i % 3], None) for i in range(30)]):
+        df = spark.createDataFrame(rows, schema).withColumn("name", F.lit("clash")).withColumn("restored", F.lit(1))
+        got = garbled.restored(df).collect()
+        assert len(got) == len(rows) and not any(r.garbled for r in got)
+    wrong = SENTENCES["fr"][0].encode().decode("latin-1")
+    df = spark.createDataFrame([(i, SENTENCES["fr"][i % 3], None) for i in range(30)] + [(99, wrong, None), (99, wrong * 400, "fr")], schema)
+    assert [r.doc_id for r in garbled.restored(df).where("garbled").collect()] == [99, 99]
