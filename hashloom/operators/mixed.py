@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from hashloom.operators.dictionary import enumerate_ids
 
 
+#: The error texts of row subsets by position.
+OUT_OF_RANGE, UNSORTED = "tried to subset with out of range row id ({})", "subset row idxs must be sorted (unsorted at idx {})"
+
+
 class UnknownFeature(TypeError):
     """An enum constant that isn't part of a feature set; raised before any job runs."""
 
@@ -92,9 +96,9 @@ class MixedMatrix:
         n = self.dense.count()
         for i, p in enumerate(positions):
             if not 0 <= p < n:
-                raise ValueError(f"tried to subset with out of range row id ({p})")
+                raise ValueError(OUT_OF_RANGE.format(p))
             if i and positions[i - 1] > p:
-                raise ValueError(f"subset row idxs must be sorted (unsorted at idx {i})")
+                raise ValueError(UNSORTED.format(i))
         ranked = positioned(self.dense.select("row_id"))
         wanted = self.dense.sparkSession.createDataFrame([(p,) for p in sorted({*positions})], "position bigint")
         return self.subset_rows(ranked.join(wanted, "position", "left_semi"))
@@ -210,12 +214,14 @@ def quantiles(values: DataFrame, col: str, qs: Iterable[float]) -> DataFrame:
     return placed.select("x", "first", "last", at.alias("w")).where("w.at >= first and w.at < last").select(F.col("w.q").alias("q"), F.col("x").alias("value"))
 
 
-def top_k_per_group(rows: DataFrame, group: str, value: str, tie: str, k: int) -> DataFrame:
-    """The k rows with the largest ``value`` of each group, ties by smaller ``tie``; a bounded list per group and task is merged, so a
-    group of any size is never sorted in one task."""
+def top_k_per_group(rows: DataFrame, group: str, value: str, tie: str, k: int, largest: bool = True) -> DataFrame:
+    """The k rows with the largest ``value`` of each group, or the smallest, ties by smaller ``tie``; nulls come last.
+
+    A bounded list per group and task is merged, so a group of any size is never sorted in one task.
+    """
     rest = [c for c in rows.columns if c not in (group, value, tie)]
     salted = rows.withColumn("__s", F.pmod(F.xxhash64(*rows.columns), F.lit(64)))
     for keys in ([group, "__s"], [group]):
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(value), tie, *rest))
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last(value) if largest else F.asc_nulls_last(value), tie, *rest))
         salted = salted.withColumn("__k", rank).where(F.col("__k") <= k)
     return salted.withColumnRenamed("__k", "rank").drop("__s")

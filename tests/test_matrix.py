@@ -151,6 +151,8 @@ def test_minibatches_and_top_k(spark):
     assert sorted(r["count"] for r in minibatches(df, "id", 4).groupBy("batch").count().collect()) == [2, 4, 4]
     top = top_k_per_group(df, "g", "v", "id", 2).collect()
     assert sorted((r.g, r.rank, r.id) for r in top) == [(0, 1, 8), (0, 2, 4), (1, 1, 9), (1, 2, 5)]
+    low = top_k_per_group(df.unionByName(df.limit(1).selectExpr("99L id", "1L g", "cast(null as double) v")), "g", "v", "id", 2, largest=False).collect()
+    assert sorted((r.g, r.rank, r.id) for r in low) == [(0, 1, 0), (0, 2, 2), (1, 1, 1), (1, 2, 3)]
 
 
 def test_legacy_layouts(spark, tmp_path):
