@@ -87,9 +87,10 @@ class PairTable:
     def _bucket(self):
         return F.pmod(F.xxhash64("a", "b"), F.lit(self.buckets)).cast("int")
 
-    def _write(self, pairs: DataFrame, folder: str) -> DataFrame:
-        """``pairs`` by bucket, one sorted file each, read again as (bucket, n_pairs)."""
-        pairs.withColumn("bucket", self._bucket()).repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "a", "b").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+    def _write(self, pairs: DataFrame, folder: str, order: bool = True) -> DataFrame:
+        """``pairs`` by bucket, one file each, sorted where it is to stay; read again as (a, b, n, bucket)."""
+        placed = pairs.withColumn("bucket", self._bucket()).repartition(self.buckets, "bucket")
+        placed.sortWithinPartitions("bucket", *(("a", "b") if order else ())).write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
         return self.spark.read.schema(f"{_PAIRS}, bucket int").parquet(f"{self.path}/{folder}")
 
     def pairs(self, only: list[int] | None = None) -> DataFrame:
@@ -111,13 +112,13 @@ class PairTable:
         if load_id is not None and load_id in self.loads:
             return self
         version = f"v{uuid.uuid4().hex[:12]}"
-        signed = basket_items(changes, items)
+        signed = checkpointed(basket_items(changes, items))  # read for baskets, pairs and items
         new_baskets = signed.agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("n")).first()["n"]
         delta = pair_deltas(signed)
         if self.buckets is None:
             delta = checkpointed(delta)
             self.buckets = buckets_for(delta.count())
-        changed = self._write(delta, f"{version}/delta")
+        changed = self._write(delta, f"{version}/delta", order=not self.at)
         hit = {r["bucket"]: r["n"] for r in changed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``buckets`` numbers
         first = not self.at
         if hit and first:
