@@ -59,7 +59,7 @@ def io_mixed(spark, d):
     flag = F.array_position(F.array(F.lit("A"), F.lit("N"), F.lit("R")), F.col("l_returnflag")) - 1
     legacy.write_mixed(table(spark, d, "lineitem").select(F.array(*cents).alias("dense"), F.array(flag).alias("col_ids"), F.array(F.lit(1.0)).alias("vals")), path, 3, 3)
     back = legacy.read_mixed(spark, path)
-    sums = [F.sum(F.get("dense", i)).cast("bigint").alias(n) for i, n in enumerate(("quantity", "discount", "tax"))]
+    sums = [F.sum(F.nanvl(F.get("dense", i), F.lit(None))).cast("bigint").alias(n) for i, n in enumerate(("quantity", "discount", "tax"))]
     flags = [F.count_if(F.array_contains("col_ids", i)).alias(n) for i, n in enumerate(("flag_a", "flag_n", "flag_r"))]
     return back.agg(F.count(F.lit(1)).alias("n_rows"), *sums, *flags)
 

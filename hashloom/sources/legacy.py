@@ -7,15 +7,24 @@ row starts, ids and float32 values of the cells.
 
 from __future__ import annotations
 
+import io
 import os
+import tempfile
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_INT = np.dtype(">i4")
+_INT, _FLOAT = np.dtype(">i4"), np.dtype(">f4")
+#: Bytes that a section of a mixed matrix has in memory before it goes to a temporary file, and that are copied at a time.
+SPOOL = 4_000_000
+#: Values of a mixed matrix that are read at a time; rows are never cut.
+STRETCH = 250_000
 
 
 def encode_vectors(arrays: Iterator[np.ndarray], wide: bool = False) -> bytes:
@@ -87,12 +96,15 @@ def local_path(folder: str) -> str:
     return folder
 
 
-def _write_parts(rows: DataFrame, folder: str, encode: Callable[[Iterator[pd.DataFrame]], Iterator[bytes]]) -> None:
-    """One file per partition, under a name of its attempt and then renamed, so that a task that runs again replaces its own part only."""
+def _write_parts(rows: DataFrame, folder: str, encode: Callable[[Iterator], Iterator[bytes]], arrow: bool = False) -> None:
+    """One file per partition, under a name of its attempt and then renamed, so that a task that runs again replaces its own part only.
+
+    ``encode`` gets the partition's batches as pandas, or with ``arrow`` as they come.
+    """
     target = local_path(folder)
     os.makedirs(target, exist_ok=True)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
         from pyspark import TaskContext
 
         task = TaskContext.get()
@@ -101,9 +113,9 @@ def _write_parts(rows: DataFrame, folder: str, encode: Callable[[Iterator[pd.Dat
             for data in encode(batches):
                 n += f.write(data)
         os.replace(tmp, f"{target}/part-{part:05d}")
-        yield pd.DataFrame({"part": [part], "bytes": [n]})
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64())], names=["part", "bytes"]) if arrow else pd.DataFrame({"part": [part], "bytes": [n]})
 
-    rows.mapInPandas(run, "part int, bytes bigint").collect()  # one row per part
+    (rows.mapInArrow if arrow else rows.mapInPandas)(run, "part int, bytes bigint").collect()  # one row per part
 
 
 def write_vectors(vectors: DataFrame, folder: str, wide: bool = False, counts: bool = False) -> None:
@@ -139,26 +151,97 @@ def _read_parts(spark: SparkSession, folder: str, decode: Callable[[int, bytes],
 
 
 def write_mixed(rows: DataFrame, folder: str, n_dense: int, n_sparse: int) -> None:
-    """Mixed rows (dense ARRAY<DOUBLE>, col_ids, vals) as one matrix file per partition; row ids aren't written, null arrays count as empty."""
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[bytes]:
-        own = [p for p in batches if len(p)]
-        whole = pd.concat(own) if own else pd.DataFrame({"dense": [], "col_ids": [], "vals": []})
-        array = lambda x, kind: np.asarray(x if x is not None else (), dtype=kind)
-        ids, vals = ([array(x, kind) for x in whole[c]] for c, kind in (("col_ids", np.int64), ("vals", float)))
-        dense = np.array([array(x, float) for x in whole["dense"]]).reshape(len(whole), n_dense)
-        starts = np.cumsum([0, *map(len, ids)])
-        yield encode_mixed(dense, starts, np.concatenate([*ids, np.empty(0, np.int64)]), np.concatenate([*vals, np.empty(0)]), n_sparse)
-
-    _write_parts(rows.select("dense", "col_ids", "vals"), folder, encode)
+    """Mixed rows (dense ARRAY<DOUBLE>, col_ids, vals) as one matrix file per partition; row ids aren't written, null arrays count as empty.
+
+    The layout has the dense block before the cells, so the four sections are gathered in temporary files: a partition may be larger than
+    memory. Null numbers are written as NaN, cells without an id not at all. Row starts are int32: a part with more cells is refused.
+    """
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        n = nnz = 0
+        sections = [tempfile.SpooledTemporaryFile(SPOOL) for _ in range(4)]
+        sections[1].write(np.zeros(1, _INT).tobytes())
+        for b in batches:
+            (dense, width), (ids, held), (vals, valued) = (_flat(b.column(c)) for c in ("dense", "col_ids", "vals"))
+            if (width != n_dense).any() or (held != valued).any():
+                raise ValueError(f"rows must have {n_dense} dense values, and as many values as ids")
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            ends = nnz + np.cumsum(np.bincount(np.repeat(np.arange(len(b)), held)[known], minlength=len(b)))
+            n, nnz = n + len(b), int(ends[-1]) if len(b) else nnz
+            if max(n, nnz) > np.iinfo(np.int32).max:
+                raise OverflowError(f"{n} rows and {nnz} cells are too many for one matrix file")
+            for f, x, kind in zip(sections, (_floats(dense), ends, ids.drop_null().to_numpy(), _floats(vals)[known]), (_FLOAT, _INT, _INT, _FLOAT)):
+                f.write(x.astype(kind).tobytes())
+        yield np.array([n, n_dense + n_sparse, n_dense, n_sparse, nnz], _INT).tobytes()
+        for f in sections:
+            f.seek(0)
+            yield from iter(lambda: f.read(SPOOL), b"")  # noqa: B023
+            f.close()
+
+    cells = [F.col("dense").cast("array<double>"), F.col("col_ids").cast("array<bigint>"), F.col("vals").cast("array<double>")]
+    _write_parts(rows.select(*[c.alias(n) for c, n in zip(cells, ("dense", "col_ids", "vals"))]), folder, encode, arrow=True)
+
+
+def _flat(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """All elements, and how many each list has."""
+    return lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+
+
+def _floats(x: pa.Array) -> np.ndarray:
+    return pc.fill_null(x, np.nan).to_numpy(zero_copy_only=False)
 
 
 def read_mixed(spark: SparkSession, folder: str) -> DataFrame:
-    """(part, position, dense, col_ids, vals) of the matrix files of a folder, or of one file."""
-
-    def rows(part: int, data: bytes) -> pd.DataFrame:
-        dense, starts, ids, values, _ = decode_mixed(data)
-        cut = lambda x: [x[a:b] for a, b in zip(starts, starts[1:])]
-        return pd.DataFrame({"part": part, "position": range(len(dense)), "dense": list(dense), "col_ids": cut(ids), "vals": cut(values)})
-
-    return _read_parts(spark, folder, rows, "part int, position bigint, dense array<double>, col_ids array<bigint>, vals array<double>")
+    """(part, position, dense, col_ids, vals) of the matrix files of a folder, or of one file; a broken one is an error.
+
+    Mounted files are read a stretch of rows at a time, so a file may be larger than memory; those of other file systems come whole.
+    """
+    jvm = spark.sparkContext._jvm
+    mounted = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() == "file"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    raw = files.select(F.regexp_extract("path", r"part-(\d+)$", 1).cast("int").alias("part"), "path" if mounted else "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, x in zip(b.column(0).to_pylist(), b.column(1)):
+                with open(local_path(x.as_py()), "rb") if mounted else io.BytesIO(x.as_py()) as f:
+                    yield from _stretches(part, f)
+
+    return raw.mapInArrow(run, "part int, position bigint, dense array<double>, col_ids array<bigint>, vals array<double>")
+
+
+def _stretches(part: int, f: BinaryIO) -> Iterator[pa.RecordBatch]:
+    """The rows of one matrix file; one without rows gives none."""
+
+    def read(at: int, n: int, kind: np.dtype) -> np.ndarray:
+        f.seek(at)
+        if n < 0 or len(data := f.read(4 * n)) < 4 * n:
+            raise ValueError(f"broken matrix in part {part} at byte {at}")
+        return np.frombuffer(data, kind)
+
+    def lists(x: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x.astype(kind.to_pandas_dtype()), kind))
+
+    rows, _, n_dense, _, nnz = read(0, 5, _INT).tolist()
+    starts_at = 20 + 4 * rows * n_dense
+    ids_at = starts_at + 4 * (rows + 1)
+    if min(rows, n_dense, nnz) < 0 or f.seek(0, os.SEEK_END) < ids_at + 8 * nnz:
+        raise ValueError(f"broken matrix in part {part}")
+    at = 0
+    while at < rows:
+        starts = read(starts_at + 4 * at, min(rows - at, max(1, STRETCH // (n_dense + 1))) + 1, _INT).astype(np.int64)
+        if starts[0] < 0 or starts[-1] > nnz or (np.diff(starts) < 0).any():
+            raise ValueError(f"broken row starts in part {part}")
+        n = max(1, int(np.searchsorted(starts, starts[0] + STRETCH, "right")) - 1)
+        starts = starts[: n + 1]
+        first, cells = int(starts[0]), int(starts[n] - starts[0])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(n, part), pa.int32()), pa.array(np.arange(at, at + n), pa.int64()),
+                lists(read(20 + 4 * at * n_dense, n * n_dense, _FLOAT), np.arange(n + 1) * n_dense, pa.float64()),
+                lists(read(ids_at + 4 * first, cells, _INT), starts - first, pa.int64()),
+                lists(read(ids_at + 4 * (nnz + first), cells, _FLOAT), starts - first, pa.float64()),
+            ],
+            names=["part", "position", "dense", "col_ids", "vals"],
+        )
+        at += n

@@ -1,4 +1,5 @@
 import enum
+import io
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from hashloom.operators.compare import compare, top_tests
 from hashloom.operators.matrix import SparseMatrix
 from hashloom.operators.mixed import BlockedMatrix, FeatureSet, MixedMatrix, UnknownFeature, minibatches, quantiles, top_k_per_group
+from hashloom.plans import storage
 from hashloom.sources import fileset, legacy
 
 
@@ -244,3 +246,40 @@ def test_mixed_files_and_file_sets(spark, tmp_path):
     assert files.merged_dims.endswith("mergedDims.txt") and files.merged_dictionary.startswith(files.root)
     with pytest.raises(ValueError):
         legacy.local_path("s3a://x/y")
+
+
+def test_mixed_parts_without_rows(spark, tmp_path):
+    rows = [(0, [1.0, None], [4, None, 1], [1.5, 2.5, None]), (1, [0.5, 2.0], None, None), (2, [3.0, 4.0], [], [])]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "row_id bigint, dense array<double>, col_ids array<bigint>, vals array<double>")
+    legacy.write_mixed(df.where("row_id < 1"), str(tmp_path / "x"), 2, 5)
+    assert len(list((tmp_path / "x").glob("part-*"))) == 3
+    (one,) = legacy.read_mixed(spark, str(tmp_path / "x")).collect()
+    assert one.dense[0] == 1.0 and np.isnan(one.dense[1]) and one.col_ids == [4, 1] and one.vals[0] == 1.5 and np.isnan(one.vals[1])
+    legacy.write_mixed(df, str(tmp_path / "y"), 2, 5)
+    assert [(r.col_ids, r.vals) for r in legacy.read_mixed(spark, str(tmp_path / "y")).orderBy("part", "position").collect()][1:] == [([], []), ([], [])]
+    with pytest.raises(Exception, match="2.*dense values"):
+        legacy.write_mixed(df.withColumn("dense", F.slice("dense", 1, 1)), str(tmp_path / "z"), 2, 5)
+
+
+def test_mixed_files_in_stretches(monkeypatch):
+    per = [0, 3, 9, 0, 0, 1, 2, 0]
+    starts, ids, dense = np.cumsum([0, *per]), np.arange(15), np.arange(16.0).reshape(8, 2)
+    data = legacy.encode_mixed(dense, starts, ids, ids / 2, 20)
+    for stretch in (1, 4, 7, 1000):
+        monkeypatch.setattr(legacy, "STRETCH", stretch)
+        got = [r for b in legacy._stretches(5, io.BytesIO(data)) for r in b.to_pylist()]
+        assert [(r["part"], r["position"]) for r in got] == [(5, i) for i in range(8)]
+        assert [r["dense"] for r in got] == dense.tolist()
+        assert [r["col_ids"] for r in got] == [ids[a:b].tolist() for a, b in zip(starts, starts[1:])]
+        assert [r["vals"] for r in got] == [(ids[a:b] / 2).tolist() for a, b in zip(starts, starts[1:])]
+    for broken in (data[:-1], data[:10], data[:20] + data[24:]):
+        with pytest.raises(ValueError):
+            list(legacy._stretches(5, io.BytesIO(broken)))
+
+
+def test_mixed_query_on_uneven_tables(spark, tmp_path):
+    rows = [(5.0, 0.05, 0.01, "A"), (None, 0.1, None, "N"), (7.0, None, None, None), (1.0, 0.0, None, "X")]
+    spark.createDataFrame(rows, "l_quantity double, l_discount double, l_tax double, l_returnflag string").repartition(7).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert tuple(storage.io_mixed(spark, str(tmp_path)).first()) == (4, 1300, 15, 1, 1, 1, 0)
+    spark.createDataFrame([(None, 0.1, 0.1, "R")] * 2, "l_quantity double, l_discount double, l_tax double, l_returnflag string").write.parquet(str(tmp_path / "b/lineitem.parquet"))
+    assert tuple(storage.io_mixed(spark, str(tmp_path / "b")).first()) == (2, None, 20, 20, 0, 0, 2)
